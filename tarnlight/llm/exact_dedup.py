@@ -1,7 +1,8 @@
 """Exact deduplication by a content sort, in DataFrame operations only.
 
-1. Sampled splitters deal the rows out by ranges of (content, salt). The salt comes from doc_id, so the
-   copies of one text, however many, spread over many ranges.
+1. Sampled splitters deal the rows out by ranges of (head of the content, salt). The salt comes from doc_id, so the
+   copies of one text, however many, spread over many ranges. Splitters hold heads only: what the driver samples
+   does not grow with the length of texts.
 2. In each range an external sort places equal contents side by side, and a sort aggregate compares
    each row's whole content with its neighbour's: a run of equals becomes one row (its best doc_id, its length).
 3. The runs of one content meet by its SHA-256 digest. They are narrow rows, a few for each content.
@@ -21,6 +22,8 @@ from .common import hex_digest, text_of
 
 #: Ranges over which the copies of one content spread.
 SALTS = 64
+#: Characters of a content that the splitters compare.
+HEAD = 48
 
 
 def content_classes(docs: DataFrame, content: Column, doc_id: str = "doc_id", keep: str = "largest", salts: int = SALTS) -> DataFrame:
@@ -28,9 +31,10 @@ def content_classes(docs: DataFrame, content: Column, doc_id: str = "doc_id", ke
     best = F.max if keep == "largest" else F.min
     rows = docs.select(F.col(doc_id).alias("_id"), content.alias("_content"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    ranges = rows.repartitionByRange("_content", "_salt")
+    rows = rows.withColumn("_head", F.substring("_content", 1, HEAD))
+    ranges = rows.repartitionByRange("_head", "_salt")
     # a struct cannot be updated in place, so Spark aggregates by sorting and comparing neighbours, with spill
-    runs = ranges.groupBy("_content", "_salt").agg(best(F.struct("_id")).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    runs = ranges.groupBy("_head", "_content", "_salt").agg(best(F.struct("_id")).alias("_best"), F.count(F.lit(1)).alias("_n"))
     runs = runs.select(hex_digest(F.col("_content")).alias("text_sha256"), F.col("_best._id").alias("_best"), "_n")
     return runs.groupBy("text_sha256").agg(best("_best").alias("keep_id"), F.sum("_n").alias("group_size"))
 
