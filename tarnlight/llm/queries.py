@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_template, pii, secret_scan, sentencepiece_bpe, toxicity
+from . import exact_dedup, html_template, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(read(spark, sf_dir, "pages"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(read(spark, sf_dir, "documents"), model_path())
 
