@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_template, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
+from . import chat_format, exact_dedup, exact_topk, html_template, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
 from .common import read
 
 
@@ -39,6 +39,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_topk.integers(read(spark, sf_dir, "embeddings"))
+    return exact_topk.top_k(rows, rows.filter("vec_id % 20 = 0"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(read(spark, sf_dir, "conversations"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -52,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op6_exact_topk": exact_topk.SQL, "op7_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
