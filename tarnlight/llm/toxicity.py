@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,43 +115,47 @@ def document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _token_labels(tokens: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    contexts: dict[str, list[int]] = {}
-    seen: set[tuple[int, int]] = set()
-    total = [1, 1]
-    keys: dict[str, list[str]] = {}
-    low = [[w.lower() for w in ws] for ws in tokens]
-    for ws, y in zip(low, toxic, strict=True):
-        for k, w in enumerate(ws):
-            context = (y, hash((ws[k - 1] if k else "", w, ws[k + 1] if k + 1 < len(ws) else "")))
-            if context in seen:
-                continue
-            seen.add(context)
-            total[y] += 1
-            if w not in keys:
-                keys[w] = ["=" + w] + [w[:n] for n in BEGINNINGS if len(w) >= n]
-            for key in keys[w]:
-                contexts.setdefault(key, [0, 0])[y] += 1
-    ratio = total[0] / total[1]
-    marked = {key for key, (clean, bad) in contexts.items() if bad >= LEAST_CONTEXTS and (bad + 0.1) * ratio >= LEAST_RATIO * (clean + 0.1)}
-    word = {w: any(key in marked for key in found) for w, found in keys.items()}
-    return [np.array([y == 1 and word[w] for w in ws], dtype=float) for ws, y in zip(low, toxic, strict=True)]
+def _marked(words: list[str], kinds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which words are toxic. kinds: the words' places, text after text, each followed by -1; toxic: 0 or 1 for each."""
+    before, after = np.roll(kinds, 1), np.roll(kinds, -1)
+    contexts = kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for other, odd in ((before, 0xC2B2AE3D27D4EB4F), (after, 0x165667B19E3779F9)):
+        contexts = (contexts ^ (contexts >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + other.astype(np.uint64) * np.uint64(odd)
+    counts = np.zeros((2, len(words)))
+    for y in (0, 1):
+        own = np.flatnonzero((toxic == y) & (kinds >= 0))
+        _, first = np.unique(contexts[own], return_index=True)
+        counts[y] = np.bincount(kinds[own[first]], minlength=len(words))
+    ratio = (counts[0].sum() + 1) / (counts[1].sum() + 1)
+    told = lambda clean, bad: (bad >= LEAST_CONTEXTS) & ((bad + 0.1) * ratio >= LEAST_RATIO * (clean + 0.1))
+    out = told(*counts)
+    for n in BEGINNINGS:
+        heads: dict[str, int] = {}
+        head = np.array([heads.setdefault(w[:n], len(heads)) if len(w) >= n else -1 for w in words], dtype=np.int64)
+        long = head >= 0
+        if long.any():
+            sums = [np.bincount(head[long], c[long], len(heads)) for c in counts]
+            out[long] |= told(*sums)[head[long]]
+    return out
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """toxic: 0 or 1 for each text; both must occur."""
-    tokens = [TOKEN.findall(t) for t in texts]
-    labels = _token_labels(tokens, toxic)
     place: dict[str, int] = {}
-    kinds = np.array([place.setdefault(w, len(place)) for ws in tokens for w in ws], dtype=np.int64)
-    lengths = np.array([len(ws) for ws in tokens])
-    truth = np.concatenate([*labels, np.zeros(0)])
-    rows, columns = [], []
-    for w, k in place.items():
+    runs = [np.array([place.setdefault(w, len(place)) for w in TOKEN.findall(t.lower())], dtype=np.int32) for t in texts]
+    lengths = np.array([len(r) for r in runs], dtype=np.int64)
+    kinds = np.concatenate([*runs, np.zeros(0, np.int32)])
+    fenced = np.concatenate([x for r in runs for x in (r, np.array([-1], np.int32))])
+    words = list(place)
+    truth = _marked(words, fenced, np.repeat(np.array(toxic), lengths + 1))[kinds].astype(float) * np.repeat(np.array(toxic), lengths)
+    del fenced, runs
+    each = array("q")
+    columns = array("q")
+    for w in words:
         found = features(w)
-        rows += [k] * len(found)
-        columns += found
-    rows, columns = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
+        each.append(len(found))
+        columns.extend(found)
+    rows, columns = np.repeat(np.arange(len(words)), np.frombuffer(each, dtype=np.int64)), np.frombuffer(columns, dtype=np.int64)
     size = 1 << HASH_BITS
     rate = min(max(truth.mean() if len(truth) else 0, 1e-4), 0.5)
     model = Model(np.zeros(size, dtype=np.float64), float(np.log(rate / (1 - rate))), np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
@@ -172,15 +177,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         share = moved / moved.sum()
         model.moves = np.log(share / np.outer(share.sum(1), share.sum(0))).clip(-3, 3)
     for _ in range(STEPS if len(truth) and truth.any() else 0):
-        by_kind = np.bincount(rows, model.weights[columns], len(place)) + model.bias
+        by_kind = np.bincount(rows, model.weights[columns], len(words)) + model.bias
         p = marginals(by_kind[kinds], cuts, model.moves)
         off = (p - truth) / scale
-        slope = np.bincount(columns, np.bincount(kinds, off, len(place))[rows], size) + L2 * model.weights
+        slope = np.bincount(columns, np.bincount(kinds, off, len(words))[rows], size) + L2 * model.weights
         grown += slope**2
         model.weights -= RATE * slope / np.sqrt(grown)
         grown_bias += off.sum() ** 2
         model.bias -= 0.2 * RATE * off.sum() / np.sqrt(grown_bias)
-    by_kind = np.bincount(rows, model.weights[columns], len(place)) + model.bias
+    by_kind = np.bincount(rows, model.weights[columns], len(words)) + model.bias
     x = document_features(marginals(by_kind[kinds], lengths, model.moves) if len(kinds) else np.zeros(0), lengths)
     y = np.array(toxic, dtype=float)
     w = model.score
