@@ -3,7 +3,8 @@
 A text is normalised as the model does it (white space escaped, dummy prefix), cut where no piece can span the cut,
 and each part is merged by an agenda of adjacent symbol pairs: the pair with the best score goes first, the leftmost
 among equals; a popped pair whose symbols have changed since is passed over. Parts recur, so their ids are kept in a
-bounded cache for each Python worker. Each Arrow batch is checked against the sentencepiece library; a difference raises.
+bounded cache for each task. In each Arrow batch every part that was merged, and if asked every whole text, is held
+against the sentencepiece library; a difference raises.
 
 The model file is public reference data of a fixed size. Its bytes travel with the function.
 
@@ -14,6 +15,7 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SPACE = "▁"
+#: Marks before which a text is cut if the vocabulary allows it.
+MARKS = ",.;:!?|%&*#$)\"'"
 #: Parts that a worker remembers at most; then it starts anew.
 CACHED = 400_000
 #: Characters of a part up to which its agenda is a plain list.
@@ -55,14 +59,18 @@ class Merger:
                 self.scores[piece] = sp.get_score(i)
         self.unknown = sp.unk_id()
         longer = [p for p in self.ids if len(p) > 1]
-        #: may a text be cut before a space, and after a line feed?
-        self.by_space = not any(b == SPACE != a for p in longer for a, b in zip(p, p[1:]))
-        self.by_line = not any("\n" in p for p in longer)
+        # a text may be cut before a space and around a line feed: no piece spans these cuts
         probe = sp.encode("a  b ", out_type=str)
-        if "".join(probe) != f"{SPACE}a{SPACE}{SPACE}b{SPACE}" or not self.by_space:
-            raise ValueError("the model normalises texts in a way that is not offered")
+        if "".join(probe) != f"{SPACE}a{SPACE}{SPACE}b{SPACE}" or any("\n" in p for p in longer) or any(b == SPACE != a for p in longer for a, b in zip(p, p[1:])):
+            raise ValueError("the model normalises or joins texts in a way that is not offered")
+        # and before these marks, where a letter or digit stands before them
+        joint = {b for p in longer for a, b in zip(p, p[1:]) if a.isalnum()}
+        marks = "".join(re.escape(c) for c in MARKS if c not in joint)
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.parts = re.compile(f"{SPACE}*[^{SPACE}\n]*\n?" if self.by_line else f"{SPACE}*[^{SPACE}]*")
+        rest = f"{SPACE}*[^{SPACE}\n]*\n?"
+        self.parts = re.compile(f"{SPACE}*+[^\\W_]++(?=[{marks}])|{rest}" if marks else rest)
+        #: parts that were merged since the last check
+        self.fresh: list[str] = []
 
     def merged(self, part: str) -> list[int]:
         """The ids of one part."""
@@ -80,6 +88,20 @@ class Merger:
                 out.append(self.unknown)
         return out
 
+    def checked(self) -> None:
+        """Holds every part merged since the last check against the library, line by line in one text; raises at a difference."""
+        line = self.merged("\n")
+        for at in range(0, len(self.fresh), 100_000):
+            parts = self.fresh[at : at + 100_000]
+            ids = self.merged(SPACE)
+            for part in parts:
+                got = self.cache.get(part)
+                ids += line
+                ids += got[0] if got else self.merged(part)
+            if self.library.encode("\n" + "\n".join(parts)) != ids:
+                raise ValueError("the ids differ from the library's")
+        self.fresh.clear()
+
     def few(self, symbols: list[str]) -> list[str]:
         """The agenda as a plain list beside the symbols: the quickest form for a short part."""
         get = self.scores.get
@@ -128,19 +150,22 @@ class Merger:
                 got = tuple(found), ",".join(map(str, found))
                 if len(part) <= 64:
                     cache[part] = got
+                self.fresh.append(part)
             ids += got[0]
             words.append(got[1])
         return ids, ",".join(words)
 
 
-def _digests(model: bytes, keep_ids: bool, verify: bool):
+def _digests(model: bytes, keep_ids: bool, verify: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = Merger(model)
+        gc.disable()  # the cache holds no cycles, and walking it costs time
 
         def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
             found = [merger.encode(t) for t in texts]
             ids = [x[0] for x in found]
-            if verify and (theirs := merger.library.encode(texts, num_threads=1)) != ids:
+            merger.checked()
+            if verify == "texts" and (theirs := merger.library.encode(texts, num_threads=1)) != ids:
                 bad = next(k for k, (a, b) in enumerate(zip(ids, theirs, strict=True)) if a != b)
                 raise ValueError(f"doc_id {keys[bad]}: the ids differ from the library's")
             decoded = [merger.library.decode(x) if x else "" for x in ids]
@@ -152,10 +177,10 @@ def _digests(model: bytes, keep_ids: bool, verify: bool):
 
         for batch in batches:
             keys, texts, size = [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                keys.append(key.as_py())
-                texts.append(text.as_py())
-                size += len(texts[-1])
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                texts.append(text)
+                size += len(text)
                 if size >= BATCH_CHARS:
                     yield flush(keys, texts)
                     keys, texts, size = [], [], 0
@@ -165,8 +190,11 @@ def _digests(model: bytes, keep_ids: bool, verify: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, verify: bool = True) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids and decoded."""
+def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, verify: str = "parts") -> DataFrame:
+    """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids and decoded.
+
+    verify: "parts" holds each distinct part of a batch against the library, "texts" each whole text besides.
+    """
     with open(model_path, "rb") as f:  # the driver's own copy of a public vocabulary
         model = f.read()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
