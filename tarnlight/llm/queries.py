@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, exact_topk, html_template, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
+from . import chat_format, exact_dedup, exact_topk, html_template, jaccard_join, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
 from .common import read
 
 
@@ -48,6 +48,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(read(spark, sf_dir, "conversations"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
