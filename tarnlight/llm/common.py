@@ -79,3 +79,15 @@ def hex_digest(column: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """docs but the rows whose id is in gone (one column). Texts are shuffled only where gone is too long to broadcast."""
+    gone = saved(gone.toDF("_gone"), "dropped-ids")
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")

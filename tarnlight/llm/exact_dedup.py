@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_digest, text_of
+from .common import hex_digest, saved, text_of, without
 
 #: Ranges over which the copies of one content spread.
 SALTS = 64
@@ -48,6 +48,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     return rows.join(classes, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
+    """docs, of equal texts one row: that of the largest (smallest) doc_id, one of them where it is repeated. A null doc_id stays."""
+    found = saved(exact_dedup(docs, doc_id, text, keep), "dedup")
+    rest = without(docs, found.filter("not kept").select("doc_id"), doc_id)
+    twice = saved(found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("_twice")).distinct(), "repeated-ids")
+    if twice.isEmpty():
+        return rest
+    again = F.col(doc_id) == F.col("_twice")
+    once = rest.join(twice, again, "left_semi").withColumn("_sha", hex_digest(text_of(text))).dropDuplicates([doc_id, "_sha"]).drop("_sha")
+    return rest.join(twice, again, "left_anti").unionByName(once)
+
+
 SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -167,7 +167,7 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs, each row as many times as mixed has copies of its doc_id, which must be unique."""
-    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_of"), F.col("copies").cast("int").alias("_copies"))
+    """docs, each row as many times as mixed has copies of its doc_id (the most, where an id is repeated)."""
+    taken = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_of")).agg(F.max("copies").cast("int").alias("_copies"))
     rows = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("_of")))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

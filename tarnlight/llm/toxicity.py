@@ -201,49 +201,69 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
 
-def _scorer(model: Model | None):
+class _Scorer:
+    """A worker's copy of the model, with the tokens it has met."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.cache = model, {}
+
+    def _emission(self, token: str) -> float:
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        e = self.cache[token] = self.model.bias + float(self.model.weights[features(token)].sum())
+        return e
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores; the tokens' marginals, text after text; their number in each text."""
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        if self.model is None:
+            return np.zeros(len(texts)), np.zeros(0), lengths
+        values: list[float] = []
+        get, emission = self.cache.get, self._emission
+        for k, t in enumerate(texts):
+            found = TOKEN.findall(t)
+            lengths[k] = len(found)
+            values += [e if (e := get(w)) is not None else emission(w) for w in found]
+        p = marginals(np.array(values), lengths, self.model.moves)
+        return 1 / (1 + np.exp(-np.clip(document_features(p, lengths) @ self.model.score, -30, 30))), p, lengths
+
+
+def _slices(texts: list[str]) -> Iterator[slice]:
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_CHARS):
+            size += len(texts[to])
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
+def _scored(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        weights, bias = (model.weights, model.bias) if model else (None, 0.0)
-
-        def emission(token: str) -> float:
-            if len(cache) > CACHED:
-                cache.clear()
-            e = cache[token] = bias + float(weights[features(token)].sum())
-            return e
-
-        def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
-            spans: list = [[] for _ in texts]
-            if model is None:
-                score = np.zeros(len(texts))
-            else:
-                values: list[float] = []
-                lengths = np.zeros(len(texts), dtype=np.int64)
-                for k, t in enumerate(texts):
-                    found = TOKEN.findall(t)
-                    lengths[k] = len(found)
-                    get = cache.get
-                    values += [e if (e := get(w)) is not None else emission(w) for w in found]
-                p = marginals(np.array(values), lengths, model.moves)
-                score = 1 / (1 + np.exp(-np.clip(document_features(p, lengths) @ model.score, -30, 30)))
+        scorer = _Scorer(model)
+        for batch in batches:
+            texts_of_batch = batch.column(1).to_pylist()
+            for part in _slices(texts_of_batch):
+                texts = texts_of_batch[part]
+                score, p, lengths = scorer(texts)
+                spans: list = [[] for _ in texts]
                 ends = np.cumsum(lengths)
-                flagged = np.flatnonzero(p >= SPAN)
-                for k in np.unique(np.searchsorted(ends, flagged, side="right")):
+                for k in np.unique(np.searchsorted(ends, np.flatnonzero(p >= SPAN), side="right")):
                     own = p[ends[k] - lengths[k] : ends[k]]
                     spans[k] = [{"start": m.start(), "end": m.end(), "p": round(float(q), 6)} for m, q in zip(TOKEN.finditer(texts[k]), own, strict=True) if q >= SPAN]
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= PREDICTED).astype(np.int32), pa.int32()), "spans": pa.array(spans, SPANS)})
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(score, pa.float64()), pa.array((score >= PREDICTED).astype(np.int32), pa.int32()), pa.array(spans, SPANS)], ["doc_id", "score", "predicted", "spans"])
+
+    return run
+
 
+def _cleaned(model: Model | None, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
         for batch in batches:
-            keys, texts, size = [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                keys.append(key.as_py())
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size >= BATCH_CHARS:
-                    yield flush(keys, texts)
-                    keys, texts, size = [], [], 0
-            if keys:
-                yield flush(keys, texts)
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            for part in _slices(texts):
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(scorer(texts[part])[0] < PREDICTED))
 
     return run
 
@@ -268,4 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, score, predicted, spans (array of start, end, p)."""
     schema = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(_scorer(model), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(_scored(model), schema)
+
+
+def clean(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic. Nothing is shuffled."""
+    return docs.mapInArrow(_cleaned(model, text), docs.schema)
