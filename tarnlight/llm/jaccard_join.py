@@ -5,12 +5,13 @@ In one total order of shingles, linked sets share a shingle among their first n
 
 1. Texts with equal sets make a class. Classes whose size and first shingles by hash (the zone: the prefix and some
    more) are equal make a group, which is indexed once.
-2. Slots of a hash of the zones' shingles are counted; shingles in slots of more than HOT come last in the order ("hot").
+2. Slots of the zones' shingles, some ten rows each, are counted; shingles in slots of more than HOT rows come last in
+   the order ("hot"), so that no indexed shingle has more rows.
    Groups whose zone keeps too few others ("dense") are read again in full and indexed member by member.
-3. Index rows of one shingle meet. Up to WARM rows: they pair up where sizes allow it, pairs are counted, and only
-   those with as many common shingles as a link needs in both prefixes go on; groups are then expanded to their members and
-   each pair of members is verified on whole sets.
-4. Rows of a shingle shared by more, hot shingles in dense prefixes, and groups of many members make families. A family's
+3. Index rows of one shingle pair up where sizes allow it, pairs are counted, and only those with as many common
+   shingles as a link needs in both prefixes go on; groups are then expanded to their members and each pair of members
+   is verified on whole sets.
+4. Hot shingles in dense prefixes, and groups of many members with what they pair with, make families. A family's
    members are dealt into blocks of bounded size; each pair of blocks is verified at once, on whole sets, and returns
    links that connect what is linked: copies of a text by the thousand never make all their pairs.
 5. Links make components. A document's component_id is the least doc_id that links reach.
@@ -37,8 +38,8 @@ from .components import components
 
 WORDS = 5
 NUM, DEN = 4, 5
-#: Index rows of a shingle beyond which it comes last in the order, and beyond which its rows make a family.
-HOT, WARM = 1000, 64
+#: Index rows of a slot of shingles beyond which they come last in the order.
+HOT = 64
 #: Members of a group that are paired one by one at most.
 MEMBERS = 16
 #: Rows (two longs each) that are broadcast at most.
@@ -236,7 +237,7 @@ class Join:
         return out.select(keys["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component_id", keys["doc_id"]).alias("component_id"))
 
     def indexed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Index rows (token, unit, n, pos) of shingles that several units share; and (unit, token) of hot shingles in prefixes."""
+        """Index rows (token, unit, n) of shingles that several units share; and (unit, token) of hot shingles in prefixes."""
         zones = self.docs.filter("doc_id is not null").mapInArrow(_zones(self.words, self.num, self.den), "doc_id long, n long, zone_key binary, zone array<long>").filter("n > 0")
         zones = saved(zones.groupBy("zone_key", "n").agg(F.min("doc_id").alias("gid"), F.first("zone").alias("zone")).select("gid", "n", "zone"), "shingle-zones")
         rows = zones.select("gid", "n", F.posexplode("zone").alias("pos", "token"))
@@ -261,7 +262,7 @@ class Join:
         whole = saved(whole.select("id", "n", F.slice("others", F.lit(1), first).alias("others"), F.slice("hots", F.lit(1), F.greatest(first - F.size("others"), F.lit(0))).alias("hots")), "dense-prefixes")
         rows = plain.unionByName(whole.select(F.explode("others").alias("token"), F.col("id").alias("unit"), "n"))
         index = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
-        return saved(index, "shingle-index"), whole.select(F.col("id").alias("unit"), F.explode("hots").alias("token"))
+        return saved(index, "shingle-index"), saved(whole.select(F.col("id").alias("unit"), F.explode("hots").alias("token")), "hot-prefixes")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """id, tokens of the wanted ids (a stored table of distinct ids, further columns are kept)."""
@@ -279,7 +280,7 @@ class Join:
         grouped = members.join(self.dense.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_anti").select(F.col("gid").alias("unit"), "rep", "members")
         units = saved(grouped.unionByName(dense.select(F.col("_rep").alias("unit"), F.col("_rep").alias("rep"), F.lit(1).cast("long").alias("members"))), "units")
 
-        a, b = (index.filter(F.col("df") <= WARM).select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("unit", "n"))) for s in "ab")
+        a, b = (index.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("unit", "n"))) for s in "ab")
         sizes = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("unit_a") < F.col("unit_b")))
         near = (F.col("n_a") * self.den >= F.col("n_b") * self.num) & (F.col("unit_a") != F.col("unit_b"))
         met = a.join(b, "token").filter(sizes & near).groupBy("unit_a", "unit_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
@@ -295,38 +296,46 @@ class Join:
         within = within.select("unit", F.col("rep").alias("a")).join(within.select("unit", F.col("rep").alias("b")), "unit").filter("a < b").select("a", "b")
         single = saved(crossed.unionByName(within).distinct(), "pairs")
 
-        # families: units around one shared or hot shingle, big groups and what they pair with
-        warm = index.filter(F.col("df") > WARM).select("token", "unit").unionByName(hot.select("token", "unit"))
-        warm = saved(warm, "family-rows")
-        around = warm.join(warm.groupBy("token").agg(F.min("unit").alias("least")), "token").select(F.col("unit").alias("a"), F.col("least").alias("b"))
+        # families: units around one hot shingle, big groups and what they pair with
+        around = hot.join(hot.groupBy("token").agg(F.min("unit").alias("least")), "token").select(F.col("unit").alias("a"), F.col("least").alias("b"))
         large = big.select(F.col("unit").alias("_big")).distinct()
         paired = pairs.join(large, F.col("unit_a") == F.col("_big"), "left_semi").unionByName(pairs.join(large, F.col("unit_b") == F.col("_big"), "left_semi"))
         edges = around.unionByName(paired.select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b")))
         families = components(edges).unionByName(large.select(F.col("_big").alias("node"), F.col("_big").alias("component")))
         families = families.groupBy("node").agg(F.min("component").alias("family"))  # a big group is in its component, if it has one
-        family = saved(families.join(units, F.col("node") == F.col("unit")).select(F.col("rep").alias("id"), "family").distinct(), "families")
-        return saved(self.verified(single).unionByName(self.in_blocks(family)), "jaccard-links")
+        sized = members.select(F.col("rep").alias("id"), "n")
+        family = families.join(units, F.col("node") == F.col("unit")).select(F.col("rep").alias("id"), "family").distinct().join(sized, "id")
+        found = self.in_blocks(saved(self.dealt(family), "families"))
+
+        # pairs of one component travel together where each document then is sent less often than once for each pair
+        cluster = self.dealt(components(single).select(F.col("node").alias("id"), F.col("component").alias("family")).join(sized, "id"))
+        of_pairs = single.join(cluster.select("id", "family"), F.col("a") == F.col("id")).groupBy("family").agg(F.count(F.lit(1)).alias("pairs"))
+        cluster = saved(cluster.join(of_pairs, "family").withColumn("together", F.col("docs") * F.col("blocks") <= 2 * F.col("pairs")), "clusters")
+        found = found.unionByName(self.in_blocks(cluster.filter("together")))
+        apart = cluster.filter("not together").select("id")
+        found = found.unionByName(self.verified(single.join(apart, F.col("a") == F.col("id"), "left_semi")))
+        return saved(found, "jaccard-links")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link. Each document sends its set to its pairs."""
-        roles = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
-        roles = saved(roles, "pair-roles")
-        sent = self.sets(roles)
-        both = sent.groupBy("a", "b").agg(F.collect_list("tokens").alias("two"))  # of two documents
+        roles = saved(pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b"), "pair-roles")
+        both = self.sets(roles).groupBy("a", "b").agg(F.collect_list("tokens").alias("two"))  # of two documents
         x, y = F.element_at("two", 1), F.element_at("two", -1)
         common = F.size(F.array_intersect(x, y))
         return both.filter(common * (self.num + self.den) >= (F.size(x) + F.size(y)) * self.num).select("a", "b")
 
-    def in_blocks(self, family: DataFrame) -> DataFrame:
-        """Links within families (id, family) that connect what is linked there."""
-        sets = saved(self.sets(family), "family-sets")
-        sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("shingles"))
-        sizes = sizes.filter("docs > 1").select(F.col("family").alias("_family"), F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        dealt = sets.join(sizes, F.col("family") == F.col("_family")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def dealt(self, family: DataFrame) -> DataFrame:
+        """family (id, family, n) with docs, blocks, block: families of one document go, others are dealt into blocks."""
+        sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1")
+        blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        return family.join(sizes.select("family", "docs", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "family", "docs", "blocks", "block")
+
+    def in_blocks(self, dealt: DataFrame) -> DataFrame:
+        """Links within families, as dealt() gives them, that connect what is linked there."""
+        sets = self.sets(dealt.select("id", "family", "block", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
         one = F.struct("id", side.alias("side"), "tokens")
-        tasks = dealt.groupBy("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(one).alias("members"))  # two blocks
+        tasks = sets.groupBy("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(one).alias("members"))  # two blocks
         return tasks.select("members").mapInArrow(_blocks(self.num, self.den), "a long, b long")
 
 
