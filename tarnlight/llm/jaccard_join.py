@@ -5,9 +5,9 @@ In one total order of shingles, linked sets share a shingle among their first n
 
 1. Texts with equal sets make a class. Classes whose size and first shingles by hash (the zone: the prefix and some
    more) are equal make a group, which is indexed once.
-2. Slots of the zones' shingles, some ten rows each, are counted; shingles in slots of more than HOT rows come last in
+2. Slots of the zones' shingles, a few rows each, are counted; shingles in slots of more than HOT rows come last in
    the order ("hot"), so that no indexed shingle has more rows.
-   Groups whose zone keeps too few others ("dense") are read again in full and indexed member by member.
+   Groups whose zone keeps too few others ("dense") are read again in full, counted in full, and indexed member by member.
 3. Index rows of one shingle pair up where sizes allow it, pairs are counted, and only those with as many common
    shingles as a link needs in both prefixes go on; groups are then expanded to their members and each pair of members
    is verified on whole sets.
@@ -39,7 +39,7 @@ from .components import components
 WORDS = 5
 NUM, DEN = 4, 5
 #: Index rows of a slot of shingles beyond which they come last in the order.
-HOT = 64
+HOT = 24
 #: Members of a group that are paired one by one at most.
 MEMBERS = 16
 #: Rows (two longs each) that are broadcast at most.
@@ -94,7 +94,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Ar
         at = 0
         while at < len(texts):
             size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 4_000_000):
+            while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
                 size += len(texts[to])
                 to += 1
             yield batch.slice(at, to - at), shingles(texts[at:to], words)
@@ -242,18 +242,31 @@ class Join:
         zones = saved(zones.groupBy("zone_key", "n").agg(F.min("doc_id").alias("gid"), F.first("zone").alias("zone")).select("gid", "n", "zone"), "shingle-zones")
         rows = zones.select("gid", "n", F.posexplode("zone").alias("pos", "token"))
         total = zones.agg(F.sum(F.size("zone"))).head()[0] or 0
-        slots = F.lit(1 << max(18, (total // 16).bit_length()))
+        slots = F.lit(1 << max(18, (total // 4).bit_length()))
         slot = F.pmod("token", slots)
-        heavy = saved(rows.groupBy(slot.alias("slot")).count().filter(F.col("count") > HOT).select("slot"), "heavy-slots")
-        here = small(heavy)
-        hot = saved(rows.join(here, slot == F.col("slot")).groupBy("gid").agg(F.count(F.lit(1)).alias("hot")).withColumnRenamed("gid", "_gid"), "hot-counts")
-        zones = zones.join(small(hot), F.col("gid") == F.col("_gid"), "left").select("gid", "n", "zone", F.coalesce("hot", F.lit(0)).alias("hot"))
-        lacks = F.size("zone") - F.col("hot") < self.prefix("n")
+        base = saved(rows.groupBy(slot.alias("slot")).count(), "slot-counts")
+        # dense members count with all their shingles, which may make more slots hot and so more members dense, until none is
+        whole = None
+        while True:
+            counts = base if whole is None else base.unionByName(whole.select(F.explode(F.slice("tokens", F.col("zone") + 1, F.size("tokens"))).alias("token")).groupBy(slot.alias("slot")).count()).groupBy("slot").agg(F.sum("count").alias("count"))
+            heavy = saved(counts.filter(F.col("count") > HOT).select("slot"), "heavy-slots")
+            here = small(heavy)
+            hot = saved(rows.join(here, slot == F.col("slot")).groupBy("gid").agg(F.count(F.lit(1)).alias("hot")).withColumnRenamed("gid", "_gid"), "hot-counts")
+            units = zones.join(small(hot), F.col("gid") == F.col("_gid"), "left").select("gid", "n", "zone", F.coalesce("hot", F.lit(0)).alias("hot"))
+            lacks = F.size("zone") - F.col("hot") < self.prefix("n")
+            self.dense = saved(members.join(units.filter(lacks).select(F.col("gid").alias("_gid"), F.size("zone").alias("zone")), F.col("gid") == F.col("_gid")).select("gid", "rep", "n", "zone"), "dense-members")
+            new = self.dense.select(F.col("rep").alias("id"), "zone")
+            if whole is not None:
+                new = saved(new.join(whole.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti"), "dense-new")
+            if new.isEmpty():
+                break
+            more = saved(self.sets(new), "dense-sets")
+            whole = more if whole is None else whole.unionByName(more)
+        if whole is None:
+            whole = self.sets(new)
         # positions among the shingles that aren't hot lie between pos - hot and pos: the former keeps all that may count
-        plain = zones.filter(~lacks).select("gid", "n", "hot", F.posexplode("zone").alias("pos", "token")).filter(F.col("pos") - F.col("hot") < self.prefix("n"))
+        plain = units.filter(~lacks).select("gid", "n", "hot", F.posexplode("zone").alias("pos", "token")).filter(F.col("pos") - F.col("hot") < self.prefix("n"))
         plain = plain.join(here, slot == F.col("slot"), "left_anti").select("token", F.col("gid").alias("unit"), "n")
-        self.dense = saved(members.join(zones.filter(lacks).select(F.col("gid").alias("_gid")), F.col("gid") == F.col("_gid")).select("gid", "rep", "n"), "dense-members")
-        whole = saved(self.sets(self.dense.select(F.col("rep").alias("id"))), "dense-sets")
         hots = whole.select("id", F.explode("tokens").alias("token")).join(here, slot == F.col("slot")).groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("hots"))  # of one document
         hots = hots.withColumnRenamed("id", "_id")
         none = F.array().cast("array<bigint>")
