@@ -31,12 +31,12 @@ SPACE = "▁"
 #: Marks before which a text is cut if the vocabulary allows it.
 MARKS = ",.;:!?|%&*#$)\"'"
 #: Parts that a worker remembers at most; then it starts anew.
-CACHED = 400_000
+CACHED = 250_000
 #: Characters of a part up to which its agenda is a plain list.
 SHORT = 24
 NONE = float("-inf")
 #: Characters that are encoded and checked at a time.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 class Merger:

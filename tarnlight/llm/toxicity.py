@@ -44,8 +44,8 @@ LEAST_RATIO = 40.0
 PREDICTED = 0.7
 SPAN = 0.5
 #: Tokens that a worker remembers at most.
-CACHED = 500_000
-BATCH_CHARS = 16_000_000
+CACHED = 300_000
+BATCH_CHARS = 4_000_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
