@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -434,7 +435,6 @@ def _evaluated(e: Any, row: dict, new: dict, scope: Scope) -> Any:
 
 def _path_set(column: Column, parts: list[str], value: Any) -> Column:
     """A json text with one path set."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

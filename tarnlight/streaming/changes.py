@@ -48,10 +48,11 @@ def difference(before: DataFrame, after: DataFrame, id: str = "id") -> tuple[Dat
     return puts, dels
 
 
-def rollup(events: DataFrame, at: str, step: str, late: str, aggregates: dict[str, str], by: list[str] | None = None) -> DataFrame:
-    """Counts and folds for each time bucket of a stream, final once the watermark has passed. aggregates: name -> SQL fold."""
+def rollup(events: DataFrame, at: str, step: str, late: str | None, aggregates: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Counts and folds for each time bucket of a stream, final once the watermark has passed. aggregates: name -> SQL fold; late is None where a watermark is set already."""
     window = F.window(at, step)
-    out = events.withWatermark(at, late).groupBy(window, *(by or [])).agg(*(F.expr(e).alias(n) for n, e in aggregates.items()))
+    marked = events.withWatermark(at, late) if late else events
+    out = marked.groupBy(window, *(by or [])).agg(*(F.expr(e).alias(n) for n, e in aggregates.items()))
     return out.select(F.col("window.start").alias("bucket"), *(by or []), *aggregates)
 
 
