@@ -20,7 +20,7 @@ def duck():
 
 def norm(df, columns):
     def one(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>") or v != v:
             return "null"
         if isinstance(v, bool):
             return str(v)
