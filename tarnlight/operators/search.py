@@ -52,8 +52,13 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
         counts[w] = counts.get(w, 0) + 1
     for w in counts:
         wanted[w] = [(w, 0)]
-    if m.fuzzy or m.prefix:
-        found = _variants(parsed, counts, words[-1] if m.prefix else None, m.fuzzy or 0)
+    last = words[-1] if m.prefix else None
+    if last and options.get("prefix") and options.get("prefix_min", 3) <= len(last) <= options["prefix"]:
+        # the index holds beginnings as terms: no dictionary is walked
+        wanted[last].append((f"^{last}", 1))
+        last = None
+    if m.fuzzy or last:
+        found = _variants(parsed, counts, last, m.fuzzy or 0)
         for w, more in found.items():
             wanted[w] += more
     groups = [(w, d, sorted(t for t, e in wanted[w] if e == d)) for w in counts for d in sorted({e for _, e in wanted[w]})]
@@ -118,7 +123,7 @@ def _variants(parsed: DataFrame, words: dict[str, int], prefix: str | None, fuzz
         most = allowed(w, fuzzy)
         near = []
         for t in found:
-            if t == w:
+            if t == w or t.startswith("^"):
                 continue
             if w == prefix and t.startswith(w):
                 near.append((t, 1))

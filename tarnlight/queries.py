@@ -197,6 +197,103 @@ add("delete_where", lambda spark, d: _written(spark, d, "del orders where o_tota
 add("claim_jobs", lambda spark, d: _written(spark, d, "set orders {o_custkey: 0 - 1} where o_orderstatus = 'O' order o_orderdate limit 5 returning id, o_custkey", answer=True), "SELECT o_orderkey AS id, -1 AS o_custkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 5)")
 add("upsert_rollup", lambda spark, d: _upsert(spark, d), "SELECT n_nationkey AS id, n_regionkey + CASE WHEN n_nationkey < 2 THEN 10 ELSE 0 END AS n FROM nation UNION ALL SELECT 100, 7")
 
+add("put_returning", lambda spark, d: _written(spark, d, "put orders {o_custkey: 5, o_orderstatus: 'N'} returning id, o_custkey", answer=True), "SELECT max(o_orderkey) + 1 AS id, 5 AS o_custkey FROM orders")
+add("require_met", _text("get orders select id where o_orderkey = 7 require 1 else 'order 7 is there'", "orders"), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey = 7")
+add("collate_distinct_case", lambda spark, d: _collated(spark, d), "SELECT * FROM (VALUES (1, 'a'), (2, 'A'), (3, 'é'), (4, 'z')) t(place, s)")
+add("nocase_filter", lambda spark, d: _folded(spark, d), "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0")
+add("json_order_mixed", lambda spark, d: _mixed(spark, d), "SELECT event_id AS id FROM events WHERE event_id < 12 ORDER BY event_id % 3 = 0 DESC, event_id % 3, event_id LIMIT 12")
+add("match_prefix_index", lambda spark, d: _prefixed(spark, d), "SELECT doc_id AS id FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: x LIKE 'lic%')) > 0 AND lang = 'en'")
+add("request_parameters", lambda spark, d: _request(spark, d), "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus IN ('F', 'O') ORDER BY o_custkey DESC, o_orderkey LIMIT 30")
+add("stream_rollup", lambda spark, d: _stream(spark, d, "rollup"), "SELECT date_trunc('day', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+add("stream_once", lambda spark, d: _stream(spark, d, "once"), "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+add("stream_cdc_snapshot", lambda spark, d: _cdc(spark, d), "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN n_nationkey + 100 ELSE n_nationkey END AS n FROM nation WHERE n_regionkey <> 2")
+add("live_difference", lambda spark, d: _live(spark, d), "SELECT o_orderkey AS id, 'put' AS op FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'del' FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 10 = 1")
+
+
+def _collated(spark, d):
+    c = Catalog(spark)
+    c.register("t", spark.createDataFrame([(1, "z"), (2, "é"), (3, "A"), (4, "a")], "id long, s string"), collate={"s": "und"})
+    rows = [r.s for r in Reader(c).select(parse_one("get t select s order s")).df.collect()]
+    return spark.createDataFrame(list(enumerate(rows, 1)), "place int, s string")
+
+
+def _folded(spark, d):
+    c = catalog(spark, d, "documents")
+    df = c.get("documents").df.withColumn("s", F.when(F.col("doc_id") % 3 == 0, F.lit("STRASSE")).otherwise("strase"))
+    c.register("documents", df, "doc_id", nocase={"s"})
+    return Reader(c).select(parse_one("get documents select id where s = 'straße'")).df
+
+
+def _mixed(spark, d):
+    c = catalog(spark, d, "events")
+    value = F.when(F.col("event_id") % 3 == 0, F.lit('{"v": 5}')).when(F.col("event_id") % 3 == 1, F.lit('{"v": 40}')).otherwise(F.lit('{"v": "a"}'))
+    c.register("events", c.get("events").df.withColumn("props", value), "event_id", json={"props"})
+    return Reader(c).select(parse_one("get events select id where event_id < 12 order props.v limit 12")).df
+
+
+def _prefixed(spark, d):
+    c = catalog(spark, d, "documents")
+    c.register("documents", c.get("documents").df, "doc_id", text={"text": {"prefix": 4, "prefix_min": 3}})
+    return Reader(c).select(parse_one('get documents select id where lang = "en" match text "lic" prefix limit 10000')).df.select("id")
+
+
+def _request(spark, d):
+    from .builder import Request
+
+    return Request({"select": "o_orderkey,o_custkey", "o_totalprice": "gte.100000", "o_orderstatus": "in.(F,O)", "order": "-o_custkey", "limit": "30"}).query(catalog(spark, d, "orders"), "orders").df()
+
+
+def _stream(spark, d, kind):
+    import uuid
+
+    from .streaming import changes
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    # a file's folder with its name, or a folder of part files
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parqu*").withColumn("ts", F.col("ts").cast("timestamp"))
+    if kind == "rollup":
+        out = changes.rollup(stream, "ts", "1 day", "1 day", {"n": "count(*)"}, ["event_type"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    else:
+        out = changes.once(stream, "event_id", "ts", "40 days")
+    name, where = f"q{uuid.uuid4().hex}", _folder(spark)
+    if kind == "rollup":
+        q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{where}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+    q = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{where}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def _cdc(spark, d):
+    from .operators.writes import Database
+    from .streaming import changes
+
+    c = catalog(spark, d, "nation")
+    ids = c.get("nation").df.selectExpr("cast(n_nationkey as bigint) as id", "cast(n_regionkey as bigint) as r", "cast(n_nationkey as bigint) as n")
+    c.register("counts", ids)
+    db = Database(c, _folder(spark))
+    db.run("set counts {n: n + 100} where r = 1", now=NOW)
+    db.run("del counts where r = 2", now=NOW)
+    got = {"puts": None}
+
+    def apply(puts, dels):
+        new = puts.select(F.from_json("doc", ids.schema).alias("x")).select("x.*")
+        gone = puts.select("id").unionByName(dels.select("id"))
+        got["puts"] = ids.join(gone, "id", "left_anti").select(*ids.columns).unionByName(new).collect()  # a nation's rows
+
+    changes.follow(changes.change_stream(spark, db.folder, collection="counts"), apply, f"{db.folder}/check").awaitTermination()
+    return spark.createDataFrame(got["puts"], ids.schema).select("id", "n")
+
+
+def _live(spark, d):
+    from .streaming import changes
+
+    rows = catalog(spark, d, "orders").get("orders").df.filter("o_totalprice > 100000").selectExpr("o_orderkey as id", "o_custkey as c")
+    after = rows.filter("id % 10 != 1").withColumn("c", F.when(F.col("id") % 10 == 0, F.col("c") + 1).otherwise(F.col("c")))
+    puts, dels = changes.difference(rows, after)
+    return puts.select("id", F.lit("put").alias("op")).unionByName(dels.select("id", F.lit("del").alias("op")))
+
 
 def _nocase(spark, d):
     c = catalog(spark, d, "orders")
