@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released, text_of
 
 #: Labelled documents of each class that are learned from at most, and characters of one.
 TRAIN_DOCS = 2000
@@ -38,8 +38,10 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 STEPS = 30
 RATE = 0.6
 L2 = 1e-4
-#: A word or beginning marks its tokens toxic with so many contexts in toxic texts, so many times its rate in clean ones.
+#: A word or beginning marks its tokens toxic with so many contexts in toxic texts (and for so large a share of these
+#: texts), so many times its rate in clean ones.
 LEAST_CONTEXTS = 4
+LEAST_SHARE = 0.012
 LEAST_RATIO = 40.0
 PREDICTED = 0.7
 SPAN = 0.5
@@ -127,7 +129,8 @@ def _marked(words: list[str], kinds: np.ndarray, toxic: np.ndarray) -> np.ndarra
         _, first = np.unique(contexts[own], return_index=True)
         counts[y] = np.bincount(kinds[own[first]], minlength=len(words))
     ratio = (counts[0].sum() + 1) / (counts[1].sum() + 1)
-    told = lambda clean, bad: (bad >= LEAST_CONTEXTS) & ((bad + 0.1) * ratio >= LEAST_RATIO * (clean + 0.1))
+    least = max(LEAST_CONTEXTS, LEAST_SHARE * np.count_nonzero((kinds < 0) & (toxic == 1)))
+    told = lambda clean, bad: (bad >= least) & ((bad + 0.1) * ratio >= LEAST_RATIO * (clean + 0.1))
     out = told(*counts)
     for n in BEGINNINGS:
         heads: dict[str, int] = {}
@@ -288,9 +291,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, score, predicted, spans (array of start, end, p)."""
     schema = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(_scored(model), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(released(_scored(model)), schema)
 
 
 def clean(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that aren't predicted toxic. Nothing is shuffled."""
-    return docs.mapInArrow(_cleaned(model, text), docs.schema)
+    return docs.mapInArrow(released(_cleaned(model, text)), docs.schema)
