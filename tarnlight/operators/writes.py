@@ -118,10 +118,21 @@ class Database:
     def record(self, c: Collection, rows: DataFrame, op: str, now: dt.datetime) -> None:
         """rows: id and the fields as they are now; a write is one change for each row."""
         base = self.last_seq() + sum(p.count() for p in self.pending)
-        seq = F.row_number().over(Window.orderBy("id")) + F.lit(base)
-        doc = F.to_json(F.struct(*(F.col(f"`{x}`") for x in rows.columns))) if op == "put" else F.lit(None).cast("string")
+        rows, seq = self.numbered(rows, base)
+        doc = F.to_json(F.struct(*(F.col(f"`{x}`") for x in rows.columns if x not in ("_at", "_part", "_before")))) if op == "put" else F.lit(None).cast("string")
         self.pending.append(rows.select(seq.cast("bigint").alias("seq"), F.lit(now).cast("timestamp").alias("at"), F.lit(c.name).alias("collection"), F.lit(op).alias("op"), F.col("id").cast("bigint").alias("id"), doc.alias("doc")))
 
+    def numbered(self, rows: DataFrame, base: int) -> tuple[DataFrame, Column]:
+        """rows in ranges of id, and their numbers from base + 1: places within a range, after the rows of the ranges before."""
+        path = f"{self.folder}/staged/{uuid.uuid4().hex}"
+        rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+        out = self.spark.read.parquet(path)
+        part = F.shiftright("_at", 33)
+        counts = out.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+        numbered = out.join(F.broadcast(before), part == F.col("_part"))
+        return numbered, F.lit(base + 1) + F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+
     # documents
     def coerced(self, c: Collection, field: str, v: Any) -> Any:
         """A value as the field's type takes it."""

@@ -160,6 +160,7 @@ SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 /
 FROM g JOIN d USING (term), s {where} GROUP BY 1 ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / a))) DESC, doc_id LIMIT {limit}"""
 add("bm25_match", _text('get documents select id match text "license apache idiot" limit 25', "documents", round_to=6), BM25_SQL.format(terms="('license'), ('apache'), ('idiot')", where="", limit=25))
 add("bm25_match_filtered", _text('get documents select id where lang = "en" match text "general public and" limit 20', "documents", round_to=6), BM25_SQL.format(terms="('general'), ('public'), ('and')", where="WHERE lang = 'en'", limit=20))
+add("bm25_indexed", lambda spark, d: rounded(_indexed(spark, d), 6), BM25_SQL.format(terms="('license'), ('apache'), ('idiot')", where="", limit=25))
 add("match_count", _text('get documents match text "license" count', "documents"), "SELECT count(*) AS count FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'license')")
 add("fuzzy_match", _text('get documents select id match text "licensed publik" fuzzy 1 limit 10', "documents", round_to=6), None)
 add("prefix_match", _text('get documents select id match text "licen" prefix limit 10', "documents", round_to=6), None)
@@ -237,6 +238,14 @@ def _prefixed(spark, d):
     return Reader(c).select(parse_one('get documents select id where lang = "en" match text "lic" prefix limit 10000')).df.select("id")
 
 
+def _indexed(spark, d):
+    from .operators import search, text_index
+
+    path = _folder(spark)
+    text_index.build(catalog(spark, d, "documents").get("documents").df.withColumn("id", F.col("doc_id")), "text", path)
+    return search.top(text_index.search(spark, path, "license apache idiot"), 25)
+
+
 def _request(spark, d):
     from .builder import Request
 
