@@ -19,6 +19,7 @@ PARTS = ((re.compile("[⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿가-힯豈-﫿\U000200
 FORMS_OF_I = {ord("I"): "i", ord("İ"): "i", ord("ı"): "i", 0x307: None}
 WORDS = re.compile(r"[^\W_]+")
 ASCII_WORDS = "[a-z0-9]+"
+ASCII = r"^\p{ASCII}*$"
 
 
 def folded(text: str) -> str:
@@ -72,7 +73,8 @@ def terms_of(text: Column, single: bool = False) -> Column:
 
     plain = F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORDS), F.lit(0))
     empty = F.array().cast("array<string>")
-    return F.when(text.isNull(), empty).when(text.rlike(r"^\p{ASCII}*$"), plain).otherwise(full(text))
+    # a Python function is run for all rows, whatever branch it stands in: ASCII texts reach it as nulls
+    return F.when(text.isNull(), empty).when(text.rlike(ASCII), plain).otherwise(full(F.when(~text.rlike(ASCII), text)))
 
 
 def casefold(text: Column, turkish: bool = False) -> Column:
@@ -84,7 +86,7 @@ def casefold(text: Column, turkish: bool = False) -> Column:
 
     if turkish:
         return full(text)
-    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(full(text))
+    return F.when(text.rlike(ASCII), F.lower(text)).otherwise(full(F.when(~text.rlike(ASCII), text)))
 
 
 def edits(a: str, b: str, most: int) -> int:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..errors import Duplicate, QueryError, TypeMismatch, Unmet
 from ..plans.ast import Change, Explain, Item, Lit, ObjectOf, Path, Put, Schema, Select
+from ..plans.check import MOST_VALUES
 from ..plans.expr import Scope, moment, sparse_value
 from ..plans.parser import parse
 from ..sources.catalog import Catalog, Collection, spark_type
@@ -272,7 +273,9 @@ class Database:
         picked = None
         if s.order or s.limit is not None or s.returning or s.require:
             page = reader.page(rows.orderBy(*reader.order(scope, s.order, None)), Select(s.source, limit=s.limit), scope)
-            picked = [r[0] for r in page.select("id").collect()]  # of a claim
+            picked = [r[0] for r in page.select("id").limit(MOST_VALUES + 1).collect()]
+            if len(picked) > MOST_VALUES:
+                raise QueryError(f"a write that picks its rows picks {MOST_VALUES} at most")
             if s.require:
                 self.require(scope, len(picked), s.require)
             hit = _with_id(c.df, c).join(F.broadcast(self.spark.createDataFrame([(x,) for x in picked], f"_hit {c.df.schema[c.id].dataType.simpleString()}")), F.col("id") == F.col("_hit"), "left")
