@@ -91,3 +91,40 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", broadcast_
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+
+
+def released(run):
+    """A batch function whose task gives its memory back at its end: workers live on and hold other operators' tasks later."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return wrapped
+
+
+def pieces(batch, column: int, most: int):
+    """Slices of a batch that hold up to most bytes of a text column, one row at least: only these become Python objects."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import partitions, released, saved
 
 K = 20
 BLOCK = 4096
@@ -145,7 +145,7 @@ def top_k(rows: DataFrame, asked: DataFrame, k: int = K, block: int = BLOCK) ->
     q = packed(asked, here, "q").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     c = packed(rows, there, "c").withColumn("slot", F.pmod("c", F.lit(slots)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(here - 1).cast("long"))))
     pairs = c.join(q, ["q", "slot"]).select("q", "_q", "_c")
-    found = pairs.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(released(_searched(k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

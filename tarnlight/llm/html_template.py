@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import released, saved
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.01
@@ -218,10 +218,10 @@ def templates(features: DataFrame, least_pages: int = LEAST_PAGES, least_share:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     rows = _keyed(pages, page_id, url, html)
-    features = saved(rows.select("key", "host", "html").mapInArrow(_features, "key string, host string, content long, hashes array<long>, kept array<long>"), "page-subtrees")
+    features = saved(rows.select("key", "host", "html").mapInArrow(released(_features), "key string, host string, content long, hashes array<long>, kept array<long>"), "page-subtrees")
     found = features.select("key", "host", F.explode("kept").alias("hash")).distinct().join(templates(features, least_pages, least_share), ["host", "hash"])
     # a page's own subtrees: the list is bounded by the page
     found = saved(found.groupBy("key").agg(F.collect_list("hash").alias("found")), "page-templates")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
-    return rows.join(found, "key", "left").select("page_id", "url", "html", "found").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return rows.join(found, "key", "left").select("page_id", "url", "html", "found").mapInArrow(released(_texts), "page_id long, url string, text string, n_chars long")

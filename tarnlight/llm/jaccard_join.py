@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import pieces, released, saved, text_of
 from .components import components
 
 WORDS = 5
@@ -90,15 +90,8 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(the rows of the first column, their sets), some megabytes of text at a time."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
-                size += len(texts[to])
-                to += 1
-            yield batch.slice(at, to - at), shingles(texts[at:to], words)
-            at = to
+        for part in pieces(batch, 1, 1_000_000):
+            yield part, shingles(part.column(1).cast(pa.binary()).to_pylist(), words)
 
 
 def prefix(n: int, num: int, den: int) -> int:
@@ -225,7 +218,7 @@ class Join:
         return F.ceil((F.col(a) + F.col(b)) * self.num / (self.num + self.den))
 
     def run(self) -> DataFrame:
-        keys = saved(self.docs.mapInArrow(_keys(self.words, self.num, self.den), "doc_id long, n long, set_key binary, zone_key binary"), "shingle-keys")
+        keys = saved(self.docs.mapInArrow(released(_keys(self.words, self.num, self.den)), "doc_id long, n long, set_key binary, zone_key binary"), "shingle-keys")
         some = keys.filter("n > 0 and doc_id is not null")
         classes = saved(some.groupBy("set_key", "n", "zone_key").agg(F.min("doc_id").alias("rep")), "shingle-classes")
         groups = classes.groupBy("zone_key", "n").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
@@ -238,7 +231,7 @@ class Join:
 
     def indexed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Index rows (token, unit, n) of shingles that several units share; and (unit, token) of hot shingles in prefixes."""
-        zones = self.docs.filter("doc_id is not null").mapInArrow(_zones(self.words, self.num, self.den), "doc_id long, n long, zone_key binary, zone array<long>").filter("n > 0")
+        zones = self.docs.filter("doc_id is not null").mapInArrow(released(_zones(self.words, self.num, self.den)), "doc_id long, n long, zone_key binary, zone array<long>").filter("n > 0")
         zones = saved(zones.groupBy("zone_key", "n").agg(F.min("doc_id").alias("gid"), F.first("zone").alias("zone")).select("gid", "n", "zone"), "shingle-zones")
         rows = zones.select("gid", "n", F.posexplode("zone").alias("pos", "token"))
         total = zones.agg(F.sum(F.size("zone"))).head()[0] or 0
@@ -283,7 +276,7 @@ class Join:
         rows = self.docs.join(small(wanted), F.col("doc_id") == F.col("id")).select("doc_id", "text", *more)
         kinds = dict(wanted.dtypes)
         schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "tokens array<long>"])
-        return rows.mapInArrow(_whole(self.words), schema).withColumnRenamed("doc_id", "id")
+        return rows.mapInArrow(released(_whole(self.words)), schema).withColumnRenamed("doc_id", "id")
 
     def links(self, members: DataFrame) -> DataFrame:
         """a, b: links that connect what is linked, between representatives of classes."""
@@ -349,7 +342,7 @@ class Join:
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
         one = F.struct("id", side.alias("side"), "tokens")
         tasks = sets.groupBy("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(one).alias("members"))  # two blocks
-        return tasks.select("members").mapInArrow(_blocks(self.num, self.den), "a long, b long")
+        return tasks.select("members").mapInArrow(released(_blocks(self.num, self.den)), "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -25,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import pieces, released, text_of
 
 SPACE = "▁"
 #: Marks before which a text is cut if the vocabulary allows it.
 MARKS = ",.;:!?|%&*#$)\"'"
 #: Parts that a worker remembers at most; then it starts anew.
-CACHED = 250_000
+CACHED = 200_000
 #: Characters of a part up to which its agenda is a plain list.
 SHORT = 24
 NONE = float("-inf")
-#: Characters that are encoded and checked at a time.
-BATCH_CHARS = 2_000_000
+#: Bytes of text that are encoded and checked at a time.
+BATCH_BYTES = 1_000_000
 
 
 class Merger:
@@ -176,16 +176,8 @@ def _digests(model: bytes, keep_ids: bool, verify: str):
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            keys, texts, size = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(key)
-                texts.append(text)
-                size += len(text)
-                if size >= BATCH_CHARS:
-                    yield flush(keys, texts)
-                    keys, texts, size = [], [], 0
-            if keys:
-                yield flush(keys, texts)
+            for part in pieces(batch, 1, BATCH_BYTES):
+                yield flush(part.column(0).to_pylist(), part.column(1).to_pylist())
 
     return run
 
@@ -198,4 +190,4 @@ def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     with open(model_path, "rb") as f:  # the driver's own copy of a public vocabulary
         model = f.read()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(_digests(model, keep_ids, verify), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(released(_digests(model, keep_ids, verify)), schema)

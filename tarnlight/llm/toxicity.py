@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, text_of
+from .common import pieces, released, text_of
 
-#: Labelled documents of each class that are learned from at most, and characters of one.
-TRAIN_DOCS = 2000
+#: Labelled documents that are learned from at most, clean and toxic ones, and characters of one.
+TRAIN_DOCS = (2000, 1000)
 TRAIN_CHARS = 100_000
 HASH_BITS = 18
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -47,7 +47,7 @@ PREDICTED = 0.7
 SPAN = 0.5
 #: Tokens that a worker remembers at most.
 CACHED = 300_000
-BATCH_CHARS = 4_000_000
+BATCH_BYTES = 4_000_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -231,31 +231,19 @@ class _Scorer:
         return 1 / (1 + np.exp(-np.clip(document_features(p, lengths) @ self.model.score, -30, 30))), p, lengths
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
-    at = 0
-    while at < len(texts):
-        size, to = 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_CHARS):
-            size += len(texts[to])
-            to += 1
-        yield slice(at, to)
-        at = to
-
-
 def _scored(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            texts_of_batch = batch.column(1).to_pylist()
-            for part in _slices(texts_of_batch):
-                texts = texts_of_batch[part]
+            for part in pieces(batch, 1, BATCH_BYTES):
+                texts = part.column(1).to_pylist()
                 score, p, lengths = scorer(texts)
                 spans: list = [[] for _ in texts]
                 ends = np.cumsum(lengths)
                 for k in np.unique(np.searchsorted(ends, np.flatnonzero(p >= SPAN), side="right")):
                     own = p[ends[k] - lengths[k] : ends[k]]
                     spans[k] = [{"start": m.start(), "end": m.end(), "p": round(float(q), 6)} for m, q in zip(TOKEN.finditer(texts[k]), own, strict=True) if q >= SPAN]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(score, pa.float64()), pa.array((score >= PREDICTED).astype(np.int32), pa.int32()), pa.array(spans, SPANS)], ["doc_id", "score", "predicted", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array((score >= PREDICTED).astype(np.int32), pa.int32()), pa.array(spans, SPANS)], ["doc_id", "score", "predicted", "spans"])
 
     return run
 
@@ -264,9 +252,9 @@ def _cleaned(model: Model | None, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for part in _slices(texts):
-                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(scorer(texts[part])[0] < PREDICTED))
+            column = batch.schema.get_field_index(text)
+            for part in pieces(batch, column, BATCH_BYTES):
+                yield part.filter(pa.array(scorer([t or "" for t in part.column(column).to_pylist()])[0] < PREDICTED))
 
     return run
 
@@ -275,12 +263,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: tuple[int, int] = TRAIN_DOCS) -> Model | None:
     """From labelled rows that aren't held out. The sample is chosen among the labels, so texts are not shuffled for it."""
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.filter(~held_out()).withColumn("_at", F.xxhash64("doc_id"))
-    classes = [known.filter(F.col("_toxic") == y).orderBy("_at", "doc_id").limit(train_docs) for y in (0, 1)]
-    sample = F.broadcast(classes[0].unionByName(classes[1]).withColumnRenamed("doc_id", "_of"))  # 2 * train_docs rows at most
+    classes = [known.filter(F.col("_toxic") == y).orderBy("_at", "doc_id").limit(train_docs[y]) for y in (0, 1)]
+    sample = F.broadcast(classes[0].unionByName(classes[1]).withColumnRenamed("doc_id", "_of"))  # sum(train_docs) rows at most
     rows = docs.select(F.col("doc_id"), text_of().alias("_text")).filter(F.length("_text") <= TRAIN_CHARS)
     got = sorted((r["_at"], r["doc_id"], r["_text"], int(r["_toxic"])) for r in rows.join(sample, F.col("doc_id") == F.col("_of")).select("_at", "doc_id", "_text", "_toxic").collect())
     if len({x[3] for x in got}) < 2:
