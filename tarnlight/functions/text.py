@@ -22,21 +22,30 @@ ASCII_WORDS = "[a-z0-9]+"
 ASCII = r"^\p{ASCII}*$"
 
 
+FULL_WIDTH = re.compile("[！-～]")
+UNSPACED = re.compile("|".join(script.pattern for script, _ in PARTS))
+RUNS = re.compile(r"(?:[^\W_]|[̀-ͯะ-๎က-႟឴-៓])+")
+
+
 def folded(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     text = text.translate(FORMS_OF_I)
-    out = []
-    for c in text:
-        if "！" <= c <= "～":
-            c = chr(ord(c) - 0xFEE0)
-        out.append(c.lower().replace("̇", ""))
-    return "".join(out)
+    text = FULL_WIDTH.sub(lambda m: chr(ord(m.group()) - 0xFEE0), text)
+    # letter by letter where a letter's place in the word would matter
+    low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    return low.replace("̇", "")
 
 
 def spans(text: str, single: bool = False) -> list[tuple[str, int, int]]:
     """(term, start, end) of each term, in order; single: the characters of unspaced scripts are terms too."""
     out = []
-    for m in re.finditer(r"(?:[^\W_]|[̀-ͯะ-๎က-႟឴-៓])+", text):
+    for m in RUNS.finditer(text):
         at, run = m.start(), m.group()
+        if run.isascii() or not UNSPACED.search(run):
+            if term := folded(run):
+                out.append((term, at, m.end()))
+            continue
         k = 0
         while k < len(run):
             for script, n in PARTS:
@@ -61,6 +70,8 @@ def spans(text: str, single: bool = False) -> list[tuple[str, int, int]]:
 
 
 def terms(text: str, single: bool = False) -> list[str]:
+    if not UNSPACED.search(text):
+        return [t for w in RUNS.findall(text) if (t := folded(w))]
     return [t for t, _, _ in spans(text, single)]
 
 
