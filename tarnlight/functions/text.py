@@ -88,6 +88,37 @@ def terms_of(text: Column, single: bool = False) -> Column:
     return F.when(text.isNull(), empty).when(text.rlike(ASCII), plain).otherwise(full(F.when(~text.rlike(ASCII), text)))
 
 
+def counts_of(text: Column, groups: list[list[str]], single: bool = False) -> Column:
+    """[terms in all, terms in each group] of a text column: only counts come back from Python."""
+    place: dict[str, list[int]] = {}
+    for k, g in enumerate(groups, 1):
+        for t in g:
+            place.setdefault(t, []).append(k)
+    width = len(groups) + 1
+
+    @F.pandas_udf("array<int>")
+    def full(s: pd.Series) -> pd.Series:
+        def one(t):
+            out = [0] * width
+            if t is not None:
+                found = terms(t, single)
+                out[0] = len(found)
+                for w in found:
+                    for k in place.get(w, ()):
+                        out[k] += 1
+            return out
+
+        return s.map(one)
+
+    def among(wanted: list[str]):
+        return lambda t: t.isin(wanted)
+
+    found = F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORDS), F.lit(0))
+    plain = F.array(F.size(found), *(F.size(F.filter(found, among(g))) for g in groups))
+    nothing = F.array(*[F.lit(0)] * width)
+    return F.when(text.isNull(), nothing).when(text.rlike(ASCII), plain).otherwise(full(F.when(~text.rlike(ASCII), text)))
+
+
 def casefold(text: Column, turkish: bool = False) -> Column:
     """Full Unicode folding: ASCII in the JVM, the rest by Python's own table."""
 

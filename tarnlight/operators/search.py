@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError, TypeMismatch
 from ..functions import geo, vectors
-from ..functions.text import allowed, edits, terms, terms_of
+from ..functions.text import allowed, counts_of, edits, terms, terms_of
 from ..plans.ast import Fuse, Match, Near, Rerank
 from ..plans.expr import Scope, sparse_value
 
@@ -62,9 +62,12 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
         for w, more in found.items():
             wanted[w] += more
     groups = [(w, d, sorted(t for t, e in wanted[w] if e == d)) for w in counts for d in sorted({e for _, e in wanted[w]})]
-    frequency = [F.size(F.filter(F.col("_terms"), _among(g[2]))).alias(f"_f{k}") for k, g in enumerate(groups)]
     # one pass: lengths and frequencies of the query's own few terms; statistics follow from the same rows
-    rows = parsed.select("id", F.size("_terms").alias("_length"), *frequency)
+    if options.get("prefix"):
+        counted = parsed.select("id", F.array(F.size("_terms"), *(F.size(F.filter(F.col("_terms"), _among(g[2]))) for g in groups)).alias("_counts"))
+    else:
+        counted = collection.select("id", counts_of(scope.field(m.field).as_kind("text"), [g[2] for g in groups], single).alias("_counts"))
+    rows = counted.select("id", F.get("_counts", F.lit(0)).alias("_length"), *(F.get("_counts", F.lit(k + 1)).alias(f"_f{k}") for k in range(len(groups))))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"), *(F.count(F.when(F.col(f"_f{k}") > 0, 1)).alias(f"d{k}") for k in range(len(groups)))).head()
     n, average = stats["n"], max(1.0, stats["avg"] or 1.0)
 
