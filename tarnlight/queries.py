@@ -210,6 +210,16 @@ add("stream_once", lambda spark, d: _stream(spark, d, "once"), "SELECT event_typ
 add("stream_cdc_snapshot", lambda spark, d: _cdc(spark, d), "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN n_nationkey + 100 ELSE n_nationkey END AS n FROM nation WHERE n_regionkey <> 2")
 add("live_difference", lambda spark, d: _live(spark, d), "SELECT o_orderkey AS id, 'put' AS op FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'del' FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 10 = 1")
 
+# the bounded lookups, joins and orders above, over whole tables
+add("lookup_topn_per_parent_whole", _text("get customer select id, c_name lookup orders on o_custkey select o_orderkey, o_totalprice order o_totalprice desc limit 3", "customer", "orders", flat=True), "SELECT c_custkey AS id, c_name, o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM (SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice, row_number() OVER (PARTITION BY c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS rn FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey) WHERE rn <= 3")
+add("lookup_required_whole", _text("get customer select id order c_acctbal desc limit 20 lookup orders on o_custkey required select o_orderkey where o_totalprice > 250000", "customer", "orders", flat=True), "WITH p AS (SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) ORDER BY c_acctbal DESC, c_custkey LIMIT 20) SELECT c_custkey AS id, o_orderkey FROM p JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000")
+add("lookup_folded_groups_whole", _text("get customer select id lookup orders on o_custkey select o_orderstatus, count() as n group o_orderstatus order n desc limit 2", "customer", "orders", flat=True), "SELECT c_custkey AS id, o_orderstatus, n FROM (SELECT c_custkey, o_orderstatus, n, row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, o_orderstatus) AS rn FROM (SELECT c_custkey, o_orderstatus, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)) WHERE rn <= 2 UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+add("lookup_chain_whole", _text("get customer select id lookup orders on o_custkey select o_orderkey order o_orderdate limit 2 lookup lineitem on l_orderkey = o_orderkey select l_quantity, l_partkey order l_quantity desc, l_partkey limit 2", "customer", "orders", LINES, flat=True), "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders), l AS (SELECT l_orderkey, l_quantity, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey) AS rn FROM lineitem) SELECT c_custkey AS id, o.o_orderkey, l.l_quantity, l.l_partkey FROM customer LEFT JOIN o ON o.o_custkey = c_custkey AND o.rn <= 2 LEFT JOIN l ON l.l_orderkey = o.o_orderkey AND l.rn <= 2")
+add("lookup_composite_whole", lambda spark, d: _composite(spark, d, whole=True), "SELECT o.o_orderkey AS id, round(x.price, 2) AS price FROM orders o LEFT JOIN (SELECT o_custkey, o_orderstatus, min(o_totalprice) AS price FROM orders GROUP BY 1, 2) x USING (o_custkey, o_orderstatus)")
+add("join_comma_whole", _text("select c.c_name, o.o_orderkey from customer c, orders o where c.c_custkey = o.o_custkey", "customer", "orders"), "SELECT c.c_name, o.o_orderkey FROM customer c, orders o WHERE c.c_custkey = o.o_custkey")
+add("geo_distance_whole", _text("get events select id, distance(loc, [13.4, 52.5]) as metres", "events", round_to=2, **GEO), f"SELECT event_id AS id, round({HAVERSINE}, 2) AS metres FROM {GEO_SQL}")
+add("json_order_mixed_whole", lambda spark, d: _mixed_ends(spark, d), "(SELECT event_id AS id, 'first' AS part FROM events ORDER BY event_id % 3 = 0 DESC, event_id % 3, event_id LIMIT 12) UNION ALL (SELECT event_id, 'last' FROM events ORDER BY event_id % 3 = 0, event_id % 3 DESC, event_id LIMIT 12)")
+
 
 def _collated(spark, d):
     c = Catalog(spark)
@@ -225,11 +235,22 @@ def _folded(spark, d):
     return Reader(c).select(parse_one("get documents select id where s = 'straße'")).df
 
 
-def _mixed(spark, d):
+def _mixed_events(spark, d):
     c = catalog(spark, d, "events")
     value = F.when(F.col("event_id") % 3 == 0, F.lit('{"v": 5}')).when(F.col("event_id") % 3 == 1, F.lit('{"v": 40}')).otherwise(F.lit('{"v": "a"}'))
     c.register("events", c.get("events").df.withColumn("props", value), "event_id", json={"props"})
-    return Reader(c).select(parse_one("get events select id where event_id < 12 order props.v limit 12")).df
+    return c
+
+
+def _mixed(spark, d):
+    return Reader(_mixed_events(spark, d)).select(parse_one("get events select id where event_id < 12 order props.v limit 12")).df
+
+
+def _mixed_ends(spark, d):
+    """Both ends of the order of the whole table."""
+    c = _mixed_events(spark, d)
+    first, last = (Reader(c).select(parse_one(f"get events select id order props.v {way} limit 12")).df for way in ("", "desc"))
+    return first.withColumn("part", F.lit("first")).unionByName(last.withColumn("part", F.lit("last")))
 
 
 def _prefixed(spark, d):
@@ -327,10 +348,11 @@ def _cohorts(spark, d):
     return Reader(c).select(parse_one("select f.cohort, bucket(e.ts, 1w) as week, count(distinct e.user_id) as users from events e join firsts f on f.user_id = e.user_id group f.cohort, week")).df
 
 
-def _composite(spark, d):
+def _composite(spark, d, whole=False):
     c = catalog(spark, d, "orders")
-    c.register("shadow", c.get("orders").df.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey as id", "o_custkey as k", "o_orderstatus as s", "o_totalprice as price"))
-    text = "get orders select id where o_orderkey < 400 lookup shadow on (k, s) = (o_custkey, o_orderstatus) select price order price limit 1"
+    shadow, some = ("true", "") if whole else ("o_orderkey % 2 = 0", "where o_orderkey < 400 ")
+    c.register("shadow", c.get("orders").df.filter(shadow).selectExpr("o_orderkey as id", "o_custkey as k", "o_orderstatus as s", "o_totalprice as price"))
+    text = f"get orders select id {some}lookup shadow on (k, s) = (o_custkey, o_orderstatus) select price order price limit 1"
     return rounded(Reader(c).select(parse_one(text)).flatten(), 2)
 
 
