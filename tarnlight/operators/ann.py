@@ -1,4 +1,4 @@
-"""Approximate vector search: cells around sampled centres, codes of eight bits, exact rescoring."""
+"""Vector search over cells around sampled centres and codes of eight bits, with exact rescoring of all that may be among the best."""
 
 from __future__ import annotations
 
@@ -35,20 +35,33 @@ def indexed(rows: DataFrame, field: str, found: np.ndarray) -> DataFrame:
     return rows.withColumn("cell", F.array_min(far)["k"]).withColumn("code", code).withColumn("scale", (top / 127).cast("float"))
 
 
-def search(rows: DataFrame, field: str, found: np.ndarray, query: list[float], k: int, probes: int = 4, candidates: int = 100, metric: str = "cosine") -> DataFrame:
-    """id, _score of about the k best: the nearest cells, their best by code, rescored exactly. rows: as indexed() gives them."""
+def search(rows: DataFrame, field: str, found: np.ndarray, query: list[float], k: int, probes: int = 4, candidates: int = 100, metric: str = "cosine", complete: bool = True) -> DataFrame:
+    """id, _score of the k best: the nearest cells, their best by code, rescored exactly; then every row, of any cell, whose code leaves room for a score as good as the k-th of those. complete=False stops before that and may miss some. rows: as indexed() gives them."""
     q = np.array(query, dtype=np.float64)
     cells = [int(c) for c in np.argsort(((found - q) ** 2).sum(1))[:probes]]
     column = F.array(*(F.lit(float(x)) for x in query))
     better = (lambda c: F.asc(c)) if metric == "l2" else (lambda c: F.desc(c))
-    rough = vectors.SCORES[metric](F.transform("code", lambda x: x * F.col("scale")), column)
-    some = rows.filter(F.col("cell").isin(cells)).withColumn("_rough", rough).orderBy(better("_rough"), "id").limit(max(candidates, k))
-    return some.select("id", vectors.SCORES[metric](F.col(field), column).alias("_score")).orderBy(better("_score"), "id").limit(k)
+    coded = F.transform("code", lambda x: x * F.col("scale"))
+    exact = vectors.SCORES[metric](F.col(field), column).alias("_score")
+    rows = rows.filter(F.col(field).isNotNull()).withColumn("_rough", vectors.SCORES[metric](coded, column))
+    some = rows.filter(F.col("cell").isin(cells)).orderBy(better("_rough"), "id").limit(max(candidates, k))
+    some = some.select("id", exact).orderBy(better("_score"), "id").limit(k)
+    if not complete:
+        return some
+    # a component is at most half a step from its code; the last factor is for rounding
+    off = F.sqrt(F.size("code").cast("double")) * F.col("scale") * 0.5001
+    if metric == "cosine":  # two unit vectors' distance; a vector that is all but its own error may have any score
+        size = vectors.norm(coded)
+        room = F.when(size > off, 2 * off / (size - off)).otherwise(2.0) + 1e-9
+    else:
+        room = off * (float(np.linalg.norm(q)) if metric == "dot" else 1.0) + 1e-9 * (F.abs("_rough") + 1)
+    worst = some.agg((F.max if metric == "l2" else F.min)("_score").alias("_kth"), F.count("_score").alias("_n"))
+    may = (F.col("_rough") - room <= F.col("_kth")) if metric == "l2" else (F.col("_rough") + room >= F.col("_kth"))
+    rest = rows.crossJoin(F.broadcast(worst)).filter((F.col("_n") < k) | F.coalesce(may, F.lit(True)))  # one row
+    return rest.select("id", exact).orderBy(better("_score"), "id").limit(k)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> float:
     """The share of exact ids that were found."""
     n = exact.count()
     return exact.join(found, "id", "left_semi").count() / n if n else 1.0
-
-
