@@ -255,8 +255,7 @@ class Reader:
         page = scope.whole(s.limit, "limit") + (scope.whole(s.offset, "offset") if s.offset is not None else 0)
         if page > MOST_ROWS:
             raise QueryError(f"a ranked read answers {MOST_ROWS} rows at most")
-        allowed = rows.select("id") if s.where is not None or scope.collection.name in self.policy.filters else None
-        matched = search.bm25(scope, base, allowed, s.match, self.within(scope)) if s.match else None
+        matched = self.matched(scope, base, rows, s) if s.match else None
         near = search.near(scope, rows, s.near) if s.near else None
         found = matched or near
         if s.fuse:
@@ -269,6 +268,17 @@ class Reader:
         order = F.desc("_score") if found.best_first else F.asc("_score")
         return Answer(out.orderBy(order, "id").select(*columns, F.col("_score")))
 
+    def matched(self, scope: Scope, base: DataFrame, rows: DataFrame, s: Select) -> search.Ranked:
+        allowed = rows.select("id") if s.where is not None or scope.collection.name in self.policy.filters else None
+        return search.bm25(scope, base, allowed, s.match, self.within(scope))
+
+    def matches(self, s: Select) -> DataFrame:
+        """id, _score of every row that a match finds, in no order and without a page."""
+        check(s)
+        scope = self.scope(s)
+        base = self.rows(scope)
+        return self.matched(scope, base, self.filtered(scope, base, s.where), s).rows
+
     def within(self, scope: Scope) -> bool:
         """Statistics of a scoped reader are over what it may read."""
         return scope.collection.name in self.policy.filters

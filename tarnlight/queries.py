@@ -258,7 +258,7 @@ def _mixed_ends(spark, d):
 def _prefixed(spark, d):
     c = catalog(spark, d, "documents")
     c.register("documents", c.get("documents").df, "doc_id", text={"text": {"prefix": 4, "prefix_min": 3}})
-    return Reader(c).select(parse_one('get documents select id where lang = "en" match text "lic" prefix limit 10000')).df.select("id")
+    return Reader(c).matches(parse_one('get documents select id where lang = "en" match text "lic" prefix')).select("id")
 
 
 def _indexed(spark, d):

@@ -23,3 +23,11 @@ def test_orders_see_the_whole_table(spark):
     got = q["json_order_mixed_whole"](spark, SF)
     assert {(r.id % 3, r.part) for r in got.collect()} == {(0, "first"), (2, "last")} and got.count() == 24
     assert q["lookup_required_whole"](spark, SF).select("id").distinct().count() == 20
+
+
+def test_all_matches_of_a_prefix(spark, tmp_path):
+    docs = spark.range(10_050).selectExpr("id as doc_id", "concat('licence ', id) as text", "if(id % 50 = 0, 'fr', 'en') as lang", "'s' as source", "9L as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()["match_prefix_index"](spark, str(tmp_path)).count() == 9_849
+    docs.withColumn("lang", F.lit("en")).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()["match_prefix_index"](spark, str(tmp_path)).count() == 10_050
