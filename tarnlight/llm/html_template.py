@@ -3,7 +3,7 @@
 1. In Arrow batches every page is read once: each block element outside articles, and each container inside them, gets
    a hash of its subtree (tags, classes, text). A page gives its hashes and a digest of its main text.
 2. Spark counts for each (host, hash) the different main texts beside which it stands, so copies of one page count once.
-   A subtree on at least max(LEAST_PAGES, LEAST_SHARE of the host's texts) of them is a template of that host.
+   A subtree on at least LEAST_PAGES of them is a template of that host, however many pages the host has.
 3. In a second reading those subtrees are deleted, beside what markup names as menus, headers, footers, sidebars,
    notices, adverts, forms, comments and code; the rest of the article (or main part, or body) is the text.
 
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import released, saved
 
 LEAST_PAGES = 5
-LEAST_SHARE = 0.01
 #: Rows of (page key, hashes) that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
@@ -207,19 +206,17 @@ def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     return rows.withColumn("key", F.concat_ws(".", F.xxhash64("html", "host"), F.xxhash64("host", "html")))
 
 
-def templates(features: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(features: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, hash, n): subtrees beside at least so many different main texts of their host."""
     seen = features.select("host", "content", F.explode("hashes").alias("hash")).distinct()
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-    sizes = features.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_of"))
-    return counts.join(sizes, "host").filter(F.col("n") >= F.col("_of") * least_share).select("host", "hash", "n")
+    return seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     rows = _keyed(pages, page_id, url, html)
     features = saved(rows.select("key", "host", "html").mapInArrow(released(_features), "key string, host string, content long, hashes array<long>, kept array<long>"), "page-subtrees")
-    found = features.select("key", "host", F.explode("kept").alias("hash")).distinct().join(templates(features, least_pages, least_share), ["host", "hash"])
+    found = features.select("key", "host", F.explode("kept").alias("hash")).distinct().join(templates(features, least_pages), ["host", "hash"])
     # a page's own subtrees: the list is bounded by the page
     found = saved(found.groupBy("key").agg(F.collect_list("hash").alias("found")), "page-templates")
     if found.count() <= broadcast_rows:
