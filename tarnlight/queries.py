@@ -109,6 +109,7 @@ add("first_last", _text("get events select event_type, first(user_id) as a, last
 add("first_last_by", _text("get events select user_id, last(value by ts) as latest, first(event_type by ts) as start group user_id", "events"), "SELECT user_id, round(arg_max(value, ts), 4) AS latest, arg_min(event_type, ts) AS start FROM events GROUP BY 1")
 add("ohlcv_bars", _text("get events select bucket(ts, 1d) as day, first(value by ts) as open, max(value) as high, min(value) as low, last(value by ts) as close, count(*) as volume group day", "events"), "SELECT date_trunc('day', ts) AS day, round(arg_min(value, ts), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(arg_max(value, ts), 4) AS close, count(*) AS volume FROM events GROUP BY 1")
 add("vwap", _text("get lineitem select l_partkey, sum(l_extendedprice * l_quantity) / sum(l_quantity) as vwap group l_partkey order l_partkey limit 100", LINES, round_to=2), "SELECT l_partkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 2) AS vwap FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 100")
+add("vwap_every_part", _text("get lineitem select l_partkey, sum(l_extendedprice * l_quantity) / sum(l_quantity) as vwap group l_partkey", LINES, round_to=None), None)
 add("nocase_groups", lambda spark, d: _nocase(spark, d), "SELECT arg_min(k, o_orderkey) AS k, count(*) AS n FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS k FROM orders) GROUP BY lower(k)")
 add("approx_distinct", _text("get events select approx_count_distinct(user_id) as n", "events", round_to=None), None)
 add("approx_distinct_close", lambda spark, d: ask(spark, d, "get events select event_type, approx_count_distinct(user_id) as a, count(distinct user_id) as b group event_type", names=("events",)).df.select("event_type", (F.abs(F.col("a") - F.col("b")) <= F.col("b") * 0.05).alias("close")), "SELECT DISTINCT event_type, true AS close FROM events")

@@ -31,3 +31,11 @@ def test_all_matches_of_a_prefix(spark, tmp_path):
     assert entry.queries()["match_prefix_index"](spark, str(tmp_path)).count() == 9_849
     docs.withColumn("lang", F.lit("en")).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert entry.queries()["match_prefix_index"](spark, str(tmp_path)).count() == 10_050
+
+
+def test_every_part_has_its_price(spark):
+    import duckdb
+
+    want = dict(duckdb.sql(f"select l_partkey, sum(l_extendedprice * l_quantity) / sum(l_quantity) from '{SF}/lineitem.parquet' group by 1").fetchall())
+    got = {r.l_partkey: r.vwap for r in entry.queries()["vwap_every_part"](spark, SF).collect()}
+    assert len(got) > 100 and got == pytest.approx(want, rel=1e-9)
