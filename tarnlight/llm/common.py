@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; a local folder only where that is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir, which all executors see. A local folder only where that is unset and the session runs on one machine (tests)."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarnlight-checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -31,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[tuple[object, str]] = []
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -39,10 +43,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _remove_all() -> None:
     while _written:
         spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:  # a session that has ended leaves its files to the owner of the shared folder
+            continue
         try:
-            _remove(spark, path)
-        except Exception:  # the session has ended: its files belong to whoever owns the shared folder
-            pass
+            removed(spark, path)
+        except (Py4JError, OSError):  # so does one whose JVM has gone
+            return
 
 
 atexit.register(_remove_all)
@@ -64,7 +70,7 @@ def dropped(df: DataFrame) -> None:
         spark, path = entry
         tail = path.rsplit("/", 1)[1]
         if any(f"/{tail}/" in f for f in files):
-            _remove(spark, path)
+            removed(spark, path)
             _written.remove(entry)
 
 
@@ -93,6 +99,33 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", broadcast_
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
 
 
+#: Keys that are broadcast at most because they hold many rows.
+HOT_KEYS = 20_000
+
+
+def met(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, total: int, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The inner join of rows with keyed, whose keys are unique; both are stored. size: rows of a key, total: of all keys.
+
+    Keys of more than 1 / hot_keys of all rows are fewer than hot_keys, whatever the data: these are broadcast, and
+    in the shuffle of the other rows no key holds more than that share.
+    """
+    large = F.col(size) > total // hot_keys
+    hot = F.broadcast(keyed.filter(large))
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(keyed.filter(large).select(*on)), on, "left_anti").join(keyed.filter(~large), on))
+
+
+#: Bytes of input for each core up to which a table is dealt over the cores.
+SPREAD_BYTES = 8_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with work for each core. Files of some megabytes may be one split, which one core would work off; beyond
+    SPREAD_BYTES a core (by the planner's estimate) splits are many, and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 def released(run):
     """A batch function whose task gives its memory back at its end: workers live on and hold other operators' tasks later."""
 

@@ -1,12 +1,14 @@
 """Exact deduplication by a content sort, in DataFrame operations only.
 
-1. Sampled splitters deal the rows out by ranges of (head of the content, salt). The salt comes from doc_id, so the
-   copies of one text, however many, spread over many ranges. Splitters hold heads only: what the driver samples
-   does not grow with the length of texts.
+1. Sampled splitters deal the rows out by ranges of (head of the content, salt). The salt comes from doc_id and the
+   input partition, one value for each range at least, so the copies of one text, however many, spread over all ranges
+   that there are. Splitters hold heads only: what the driver samples does not grow with the length of texts.
 2. In each range an external sort places equal contents side by side, and a sort aggregate compares
    each row's whole content with its neighbour's: a run of equals becomes one row (its best doc_id, its length).
-3. The runs of one content meet by its SHA-256 digest. They are narrow rows, a few for each content.
-4. Every row finds its group by that digest. The text does not move again.
+3. The runs of one content meet by its SHA-256 digest. They are narrow rows, at most as many as there are salts.
+4. Every row finds its group by that digest. The text does not move again. Groups of more than 1 / HOT_KEYS of all
+   rows are fewer than HOT_KEYS, whatever the data: they are broadcast (a digest and two longs each), so that no key
+   of the join that the other rows take holds more than that share.
 
 Defined results: null text counts as empty; equal doc_ids count as separate rows of the group; a row with null
 doc_id is a member and never the one that stays unless all are null; an empty table gives an empty result; other
@@ -18,34 +20,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_digest, saved, text_of, without
+from .common import HOT_KEYS, hex_digest, met, partitions, saved, text_of, without
 
-#: Ranges over which the copies of one content spread.
+#: Ranges over which the copies of one content spread at least.
 SALTS = 64
 #: Characters of a content that the splitters compare.
 HEAD = 48
 
 
-def content_classes(docs: DataFrame, content: Column, doc_id: str = "doc_id", keep: str = "largest", salts: int = SALTS) -> DataFrame:
-    """One row for each distinct content: text_sha256, keep_id, group_size."""
+def content_classes(docs: DataFrame, content: Column, doc_id: str = "doc_id", keep: str = "largest", salts: int | None = None) -> DataFrame:
+    """One row for each distinct content: digest (binary), keep_id, group_size."""
     best = F.max if keep == "largest" else F.min
+    salts = salts or max(SALTS, partitions(docs.sparkSession))
     rows = docs.select(F.col(doc_id).alias("_id"), content.alias("_content"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", F.spark_partition_id()), F.lit(salts)).cast("int"))
     rows = rows.withColumn("_head", F.substring("_content", 1, HEAD))
     ranges = rows.repartitionByRange("_head", "_salt")
     # a struct cannot be updated in place, so Spark aggregates by sorting and comparing neighbours, with spill
     runs = ranges.groupBy("_head", "_content", "_salt").agg(best(F.struct("_id")).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    runs = runs.select(hex_digest(F.col("_content")).alias("text_sha256"), F.col("_best._id").alias("_best"), "_n")
-    return runs.groupBy("text_sha256").agg(best("_best").alias("keep_id"), F.sum("_n").alias("group_size"))
+    runs = runs.select(_digest(F.col("_content")).alias("digest"), F.col("_best._id").alias("_best"), "_n")
+    return runs.groupBy("digest").agg(best("_best").alias("keep_id"), F.sum("_n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
+def _digest(content: Column) -> Column:
+    return F.unhex(hex_digest(content))
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest", hot_keys: int = HOT_KEYS) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256. keep: "largest" or "smallest" doc_id."""
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep is 'largest' or 'smallest', not {keep!r}")
-    classes = content_classes(docs, text_of(text), doc_id, keep)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), hex_digest(text_of(text)).alias("text_sha256"))
-    return rows.join(classes, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    classes = saved(content_classes(docs, text_of(text), doc_id, keep), "dedup-classes")
+    rows = saved(docs.select(F.col(doc_id).alias("doc_id"), _digest(text_of(text)).alias("digest")), "dedup-digests")
+    out = met(rows, classes, ["digest"], "group_size", rows.count(), hot_keys)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:

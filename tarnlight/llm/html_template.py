@@ -4,12 +4,13 @@
    a hash of its subtree (tags, classes, text). A page gives its hashes and a digest of its main text.
 2. Spark counts for each (host, hash) the different main texts beside which it stands, so copies of one page count once.
    A subtree on at least LEAST_PAGES of them is a template of that host, however many pages the host has.
-3. In a second reading those subtrees are deleted, beside what markup names as menus, headers, footers, sidebars,
-   notices, adverts, forms, comments and code; the rest of the article (or main part, or body) is the text.
+3. In a second reading every page's templates are deleted first. What is left of menus, headers, footers, sidebars,
+   notices, adverts, forms, comments and code, because it recurs too little to be counted, goes by its markup; the
+   rest of the article (or main part, or body) is the text. template_chars and markup_chars say what either deleted.
 
 Paragraphs and headings inside an article are never taken for templates: passages that recur in articles are content.
-Only the subtrees that the markup rules leave standing need to reach the second reading; these (page, hash) rows are
-broadcast up to a counted bound and otherwise joined.
+The (page, hashes) rows of the second reading are broadcast up to a counted bound and otherwise joined by a hash of the
+page's id and html. Templates that stand on a large share of all pages are few, and are broadcast to meet the pages.
 
 Defined results: null and empty html give the empty text; null url is the host ''; repeated pages count once for
 templates and give a row each; broken markup is read as browsers do in the main (implied ends, stray ends ignored,
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, saved
+from .common import met, released, saved
 
 LEAST_PAGES = 5
 #: Rows of (page key, hashes) that are broadcast at most.
@@ -43,7 +44,7 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 #: What isn't main text: elements, roles, and words of a class or id.
 DROPPED = frozenset("head script style template noscript nav footer aside form button select textarea input iframe svg canvas object audio video dialog menu search xmp noembed noframes title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NAMES = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations popup modal overlay footer masthead widget toolbar login search pagination pager skip".split())
+NAMES = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies footer masthead".split())
 OF_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies".split())
 
 NOT_P = BLOCK - {"p"}
@@ -73,37 +74,35 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(words & NAMES)
 
 
-def parse(html: str, templates: frozenset[int] = frozenset()) -> tuple[str, list[int], list[int]]:
-    """The main text; the hashes of the subtrees that may be templates; those of them that markup alone would keep."""
+def parse(html: str, templates: frozenset[int] = frozenset()) -> tuple[str, list[int], int, int]:
+    """The main text; the hashes of the subtrees that may be templates; the characters that templates and markup deleted."""
     out: list[str] = []
     canon: list[str] = []
     roots: list[tuple[int, int, str]] = []  # of article and main: from, to in out
     hashes: list[int] = []
-    kept: list[int] = []
-    # of an open element: tag, places in out and canon, whether its text goes, articles around it, hashes kept before it
-    stack: list[tuple[str, int, int, bool, int, int]] = []
+    deleted = [0, 0]  # characters, by templates and by markup
+    # of an open element: tag, places in out and canon, whether its text goes, articles around it
+    stack: list[tuple[str, int, int, bool, int]] = []
     opened: dict[str, int] = {}
     articles = 0
-    gone = 0
 
     def close() -> None:
-        nonlocal articles, gone
-        tag, at, c, drop, inside, k = stack.pop()
+        nonlocal articles
+        tag, at, c, drop, inside = stack.pop()
         opened[tag] -= 1
         articles -= tag in ("article", "main")
-        gone -= drop
         empty = len(canon) == c + 1
         h = _hash(canon[c:])
         canon[c:] = [str(h)]
         countable = tag in BLOCK and tag not in ("html", "body", "head", "article", "main") and not empty and not (inside and tag in PROSE)
         if countable:
             hashes.append(h)
-        if drop or (countable and h in templates):
-            del out[at:], kept[k:]
+        counted = countable and h in templates
+        if drop or counted:
+            deleted[not counted] += len(" ".join("".join(out[at:]).split()))
+            del out[at:]
             while roots and roots[-1][0] >= at:
                 roots.pop()
-        elif countable and not gone:
-            kept.append(h)
         if tag in ("article", "main") and not inside and not drop:
             roots.append((at, len(out), tag))
         if tag in BLOCK:
@@ -141,11 +140,10 @@ def parse(html: str, templates: frozenset[int] = frozenset()) -> tuple[str, list
             if tag in VOID:
                 continue
             drop = _dropped(tag, attributes, articles > 0)
-            stack.append((tag, len(out), len(canon), drop, articles, len(kept)))
+            stack.append((tag, len(out), len(canon), drop, articles))
             canon.append(f"<{tag} {attributes.get('class', '')} {attributes.get('id', '')}")
             opened[tag] = opened.get(tag, 0) + 1
             articles += tag in ("article", "main")
-            gone += drop
         elif (tag := m[1]) is not None:
             tag = tag.lower()
             if tag == "p" and not opened.get("p"):
@@ -162,8 +160,8 @@ def parse(html: str, templates: frozenset[int] = frozenset()) -> tuple[str, list
         close()
     for kind in ("article", "main"):
         if found := " ".join(" ".join("".join(out[a:b]) for a, b, tag in roots if tag == kind).split()):
-            return found, hashes, kept
-    return " ".join("".join(out).split()), hashes, kept
+            return found, hashes, *deleted
+    return " ".join("".join(out).split()), hashes, *deleted
 
 
 def _implied(stack: list, opened: dict[str, int], wanted: set[str], fence: frozenset[str] | set[str], close) -> None:
@@ -180,20 +178,19 @@ def _implied(stack: list, opened: dict[str, int], wanted: set[str], fence: froze
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, kept, texts = [], [], []
-        for html in batch.column(2):
-            text, all_of, open_of = parse(html.as_py())
-            hashes.append(sorted(set(all_of)))
-            kept.append(sorted(set(open_of)))
+        hashes, texts = [], []
+        for html in batch.column(3):
+            text, found, _, _ = parse(html.as_py())
+            hashes.append(sorted(set(found)))
             texts.append(_hash([text]))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.int64()), pa.array(hashes, longs), pa.array(kept, longs)], ["key", "host", "content", "hashes", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["k1", "k2", "host", "content", "hashes"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [parse(html.as_py(), frozenset(found.as_py() or ()))[0] for html, found in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        got = [parse(html.as_py(), frozenset(found.as_py() or ())) for html, found in zip(batch.column(2), batch.column(3), strict=True)]
+        longs = ([len(g[0]) for g in got], [g[2] for g in got], [g[3] for g in got])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), *(pa.array(x, pa.int64()) for x in longs)], ["page_id", "url", "text", "n_chars", "template_chars", "markup_chars"])
 
 
 def host_of(url: Column) -> Column:
@@ -203,22 +200,31 @@ def host_of(url: Column) -> Column:
 def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    return rows.withColumn("key", F.concat_ws(".", F.xxhash64("html", "host"), F.xxhash64("host", "html")))
+    return rows.withColumns({"k1": F.xxhash64("page_id", "html", "host"), "k2": F.xxhash64("host", "html", "page_id")})
+
+
+def features(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """k1, k2 (of the page), host, content (of its main text), hashes (of its subtrees), for each page; stored."""
+    rows = _keyed(pages, page_id, url, html).select("k1", "k2", "host", "html")
+    return saved(rows.mapInArrow(released(_features), "k1 long, k2 long, host string, content long, hashes array<long>"), "page-subtrees")
 
 
 def templates(features: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, hash, n): subtrees beside at least so many different main texts of their host."""
-    seen = features.select("host", "content", F.explode("hashes").alias("hash")).distinct()
-    return seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    """(host, hash, n, pages): subtrees beside at least so many different main texts (n) of their host, and the pages that hold them."""
+    seen = features.select("host", "content", F.explode("hashes").alias("hash")).groupBy("host", "content", "hash").agg(F.count(F.lit(1)).alias("pages"))
+    return seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("pages").alias("pages")).filter(F.col("n") >= least_pages)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A row for each page: page_id, url, text, n_chars."""
+    """A row for each page: page_id, url, text, n_chars, template_chars, markup_chars."""
     rows = _keyed(pages, page_id, url, html)
-    features = saved(rows.select("key", "host", "html").mapInArrow(released(_features), "key string, host string, content long, hashes array<long>, kept array<long>"), "page-subtrees")
-    found = features.select("key", "host", F.explode("kept").alias("hash")).distinct().join(templates(features, least_pages), ["host", "hash"])
+    seen = features(pages, page_id, url, html)
+    own = seen.select("k1", "k2", "host", F.explode("hashes").alias("hash")).distinct()
+    known = saved(templates(seen, least_pages), "host-templates")
+    found = met(own, known, ["host", "hash"], "pages", seen.agg(F.sum(F.size("hashes"))).head()[0] or 0)
     # a page's own subtrees: the list is bounded by the page
-    found = saved(found.groupBy("key").agg(F.collect_list("hash").alias("found")), "page-templates")
+    found = saved(found.groupBy("k1", "k2").agg(F.collect_list("hash").alias("found")), "page-templates")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
-    return rows.join(found, "key", "left").select("page_id", "url", "html", "found").mapInArrow(released(_texts), "page_id long, url string, text string, n_chars long")
+    texts = rows.join(found, ["k1", "k2"], "left").select("page_id", "url", "html", "found")
+    return texts.mapInArrow(released(_texts), "page_id long, url string, text string, n_chars long, template_chars long, markup_chars long")

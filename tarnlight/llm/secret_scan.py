@@ -1,8 +1,10 @@
 """Secret scan over a trigram inverted index, in DataFrame functions only.
 
 1. Each rule's regular expression is parsed, and a Boolean query of the trigrams that every match must hold is derived.
-2. One pass over the texts makes the postings (trigram, doc_id) of the trigrams that the queries name, of ASCII-lowered text.
-3. The postings of a document meet; each rule's query is evaluated over them: intersections for AND, unions for OR.
+2. index() reads the texts once and stores the postings (trigram, doc_id) of the trigrams that the rules name, of
+   ASCII-lowered text, as posting lists clustered by trigram. Rules added later read the texts again for new
+   trigrams alone (extended()), and not at all where the lists have theirs.
+3. The lists of each rule's trigrams are intersected for AND and united for OR: they meet by doc_id.
 4. A second pass verifies each rule on its candidates by the pattern itself. Rules without mandatory trigrams scan
    every text in that pass.
 
@@ -146,20 +148,52 @@ def _evaluated(query, has) -> Column:
     return out
 
 
+@dataclass(frozen=True)
+class Index:
+    """Posting lists (trigram, doc_id), and the trigrams that have one, be it empty."""
+
+    lists: DataFrame
+    trigrams: frozenset[str]
+
+
+def needed(rules: tuple[Rule, ...]) -> frozenset[str]:
+    """The trigrams that the rules' queries name."""
+    return frozenset().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules))
+
+
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram as its place in the list, doc_id) of each named trigram that a text holds."""
+    """(trigram, doc_id) of each named trigram that a text holds."""
     low = docs.select(F.col(doc_id).alias("doc_id"), F.translate(text_of(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_low"))
-    held = F.array_compact(F.array(*(F.when(F.col("_low").contains(t), F.lit(k)) for k, t in enumerate(trigrams))))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    held = F.array_compact(F.array(*(F.when(F.col("_low").contains(t), F.lit(t)) for t in trigrams)))
+    return low.select(F.explode(held).alias("trigram"), "doc_id")
+
+
+def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """The posting lists of the rules' trigrams, stored in the shared folder; a file's rows are in order of trigram."""
+    trigrams = needed(rules)
+    return Index(saved(postings(docs, sorted(trigrams), doc_id, text).sortWithinPartitions("trigram"), "trigram-postings"), trigrams)
+
+
+def extended(known: Index, docs: DataFrame, rules: tuple[Rule, ...], doc_id: str = "doc_id", text: str = "text") -> Index:
+    """known with the lists that further rules need; the texts are read for trigrams that have none yet."""
+    new = needed(rules) - known.trigrams
+    if not new:
+        return known
+    more = saved(postings(docs, sorted(new), doc_id, text).sortWithinPartitions("trigram"), "trigram-postings")
+    return Index(known.lists.unionByName(more), known.trigrams | new)
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rules: bits of the indexed rules whose query the postings of the document satisfy."""
+def candidates(known: Index, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, rules: bits of the indexed rules whose query the posting lists satisfy."""
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True}
-    needed = sorted(set().union(*map(trigrams_of, queries.values())))
-    place = {t: k for k, t in enumerate(needed)}
-    words = [F.bit_or(F.when(F.floor(F.col("trigram") / 60) == w, F.expr("shiftleft(1L, cast(trigram % 60 as int))")).otherwise(F.lit(0))).alias(f"_w{w}") for w in range(len(needed) // 60 + 1)]
-    met = postings(docs, needed, doc_id, text).groupBy("doc_id").agg(*words)
+    wanted = sorted(needed(rules))
+    if lacking := set(wanted) - known.trigrams:
+        raise ValueError(f"the index has no list of {', '.join(sorted(lacking))}")
+    place = {t: k for k, t in enumerate(wanted)}
+    at = F.element_at(F.create_map(*(F.lit(x) for t, k in place.items() for x in (t, k))), F.col("trigram"))
+    lists = known.lists.filter(F.col("trigram").isin(wanted)).select("doc_id", at.alias("_at"))
+    words = [F.bit_or(F.when(F.floor(F.col("_at") / 60) == w, F.expr("shiftleft(1L, _at % 60)")).otherwise(F.lit(0))).alias(f"_w{w}") for w in range(len(wanted) // 60 + 1)]
+    met = lists.groupBy("doc_id").agg(*words)
 
     def has(t: str) -> Column:
         return F.col(f"_w{place[t] // 60}").bitwiseAND(F.lit(1 << place[t] % 60)) != 0
@@ -170,9 +204,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "
     return met.select("doc_id", bits.alias("rules")).filter("rules != 0")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A row for each document: doc_id, spans, an array of struct(start, rank, end, kind) in order."""
-    found = saved(candidates(docs, rules, doc_id, text).withColumnRenamed("doc_id", "_of"), "secret-candidates")
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, known: Index | None = None) -> DataFrame:
+    """A row for each document: doc_id, spans, an array of struct(start, rank, end, kind) in order. known: an index of these documents, if there is one."""
+    known = extended(known, docs, rules, doc_id, text) if known else index(docs, rules, doc_id, text)
+    found = saved(candidates(known, rules).withColumnRenamed("doc_id", "_of"), "secret-candidates")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left")

@@ -100,8 +100,27 @@ def test_trigram_queries():
 
 def test_candidates_hold_all_matches(docs):
     rows = [(k, t) for k, t in enumerate(TEXTS)]
-    found = {r.doc_id: r.rules for r in secret_scan.candidates(docs(rows)).collect()}
+    found = {r.doc_id: r.rules for r in secret_scan.candidates(secret_scan.index(docs(rows))).collect()}
     for k, t in rows:
         for j, rule in enumerate(secret_scan.RULES):
             if secret_scan.trigram_query(rule.pattern) is not True and re.search(rule.pattern, t, re.I if rule.ignore_case else 0):
                 assert found.get(k, 0) >> j & 1
+
+
+def test_posting_lists_serve_later_rules(docs):
+    d = docs([(k, t) for k, t in enumerate(TEXTS)] + [(99, "a key sk_live_0123456789abcdefABCDEF00 here"), (100, "sk_live_ alone")])
+    known = secret_scan.index(d)
+    assert secret_scan.extended(known, d, secret_scan.RULES[:2]) is known
+    rule = secret_scan.Rule("stripe", r"sk_live_[A-Za-z0-9]+", r"(?<![A-Za-z0-9])sk_live_[A-Za-z0-9]{24,}+")
+    with pytest.raises(ValueError):
+        secret_scan.candidates(known, (rule,))
+    more = secret_scan.extended(known, d, (rule,))
+    assert more.trigrams > known.trigrams
+    assert {r.doc_id for r in secret_scan.candidates(more, (rule,)).collect()} == {99, 100}
+    lists = {(r.trigram, r.doc_id) for r in more.lists.collect()}
+    want = {(t, k) for k, x in enumerate(TEXTS) for t in more.trigrams if t in "".join(c.lower() if c.isascii() else c for c in x)}
+    assert {(t, k) for t, k in lists if k < 99} == want
+    both = secret_scan.digest(secret_scan.scan(d, (*secret_scan.RULES, rule), known=known)).collect()
+    plain = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(d)).collect()}
+    assert {r.doc_id for r in both if "stripe" in r.spans} == {99}
+    assert all(r.base_sha256 == plain[r.doc_id].base_sha256 for r in both)
