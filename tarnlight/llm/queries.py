@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, exact_topk, html_template, jaccard_join, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
-from .common import read
+from .common import read, spread
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -18,25 +18,25 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.col("spans"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_template.extract(read(spark, sf_dir, "pages"))
+    return html_template.extract(spread(read(spark, sf_dir, "pages")))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    return source_mix.mix_documents(spread(read(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_decode(read(spark, sf_dir, "documents"), model_path())
+    return sentencepiece_bpe.encode_decode(spread(read(spark, sf_dir, "documents")), model_path())
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+    return pii.digest(pii.find(spread(read(spark, sf_dir, "documents"))))
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +49,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(read(spark, sf_dir, "documents"))
+    return jaccard_join.join(spread(read(spark, sf_dir, "documents")))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(spread(read(spark, sf_dir, "documents")))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(spread(read(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
