@@ -122,7 +122,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df with work for each core. Files of some megabytes may be one split, which one core would work off; beyond
     SPREAD_BYTES a core (by the planner's estimate) splits are many, and nothing is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SPREAD_BYTES * cores else df
 
 
