@@ -1,18 +1,22 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals make document scores and offsets.
 
 Training, on the driver, from a bounded sample of labelled rows (TRAIN_DOCS of each class, the least by a hash of
-doc_id, texts of up to TRAIN_CHARS): document labels become token labels where a word or a word beginning stands in
-many different contexts of toxic texts and in hardly any of clean ones (copies of a text count once, since their
-contexts are the same). The field has hashed word and word-beginning features and two tags; its likelihood is raised by
-full-batch adaptive gradient steps over forward-backward marginals. A logistic function of two sums over a document's
-marginals, fitted on the sample's documents, turns them into a score.
+doc_id, texts of up to TRAIN_CHARS; rows that are held out are never among them): document labels become token labels
+where a word or a word beginning stands in so many more contexts of toxic texts than of clean ones that chance would
+not give one such mark among all that are tested (a likelihood-ratio test; copies of a text count once, since their
+contexts are the same). How sure the test is and how many times the clean rate a mark needs are chosen by
+cross-validation among the training rows. The field has hashed features of the word, its beginnings, its shape and its
+two neighbours, and two tags; emissions and transitions are learned together, by full-batch adaptive gradient steps on
+the likelihood over forward-backward marginals. A logistic function of two sums over a document's marginals, fitted on
+the sample's documents, turns them into a score.
 
 Scoring, in Arrow batches: every token of every whole text; forward-backward over each document's chain, all documents
 of a batch at a time. Texts are not shuffled. The model is of a fixed size (2**HASH_BITS weights).
 
 Defined results: null and empty texts have no tokens and score as a document without toxic tokens does; without both
 classes among the training rows every score is 0; repeated rows score alike; several labels of one doc_id count as their
-largest, null labels not at all; other columns are ignored. Spans are code points, end exclusive.
+largest, null labels not at all; of several rows of one labelled doc_id the least text is learned from; other columns are
+ignored. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +44,11 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 STEPS = 30
 RATE = 0.6
 L2 = 1e-4
-#: A word or beginning marks its tokens toxic with so many contexts in toxic texts (and for so large a share of these
-#: texts), so many times its rate in clean ones.
-LEAST_CONTEXTS = 4
-LEAST_SHARE = 0.012
-LEAST_RATIO = 40.0
+#: Choices of cross-validation, the strictest first: false marks that chance may give among all words and beginnings, and
+#: how many times its rate in clean texts a mark has in toxic ones.
+FALSE_MARKS = (0.001, 0.01, 0.1, 1.0)
+RATIOS = (40.0, 10.0)
+FOLDS = 3
 PREDICTED = 0.7
 SPAN = 0.5
 #: Tokens that a worker remembers at most.
@@ -60,15 +66,44 @@ class Model:
 
 
 def features(token: str) -> list[int]:
+    """Hashed features of a token itself."""
     word = token.lower()
-    mask = (1 << HASH_BITS) - 1
-    out = [zlib.crc32(b"=" + word.encode()) & mask]
-    out += [zlib.crc32(b"^" + word[:n].encode()) & mask for n in BEGINNINGS if len(word) >= n]
+    out = [_feature("=" + word), _feature("?" + ("u" if token.isupper() else "t" if token[:1].isupper() else "l") + str(min(len(token), 9)))]
+    return out + [_feature("^" + word[:n]) for n in BEGINNINGS if len(word) >= n]
+
+
+def beside(token: str) -> tuple[int, int]:
+    """Hashed features that a token gives to the one after it, and to the one before it."""
+    word = token.lower()
+    return _feature("<" + word), _feature(">" + word)
+
+
+def _feature(text: str) -> int:
+    return zlib.crc32(text.encode()) & ((1 << HASH_BITS) - 1)
+
+
+def emissions(kinds: np.ndarray, inner: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The tokens' scores. kinds: of the tokens, document after document; inner: places of tokens that follow another of
+    their document; own, before, after: what a kind gives to itself, to the token after it and to the one before it."""
+    out = own[kinds]
+    out[inner] += before[kinds[inner - 1]]
+    out[inner - 1] += after[kinds[inner]]
     return out
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token; emission: the tokens' scores, document after document; each document is a chain."""
+def followers(lengths: np.ndarray) -> np.ndarray:
+    """The places, document after document, of all tokens but the first of each document."""
+    both = np.ones(int(lengths.sum()), dtype=bool)
+    some = lengths[lengths > 0]
+    both[np.cumsum(some) - some] = False
+    return np.flatnonzero(both)
+
+
+def marginals(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray, edges: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic) of each token; emission: the tokens' scores, document after document; each document is a chain.
+
+    edges: to this 2 x 2 array the expected numbers of moves from tag to tag are added.
+    """
     out = np.zeros(len(emission))
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
@@ -98,6 +133,10 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> n
         out[at] = one / (one + (1 - p) * (1 - q))
         up = odds[at] * q
         down = 1 - q
+        if edges is not None and t:
+            a = forward[at - 1]
+            pairs = np.array([[(1 - a) * m[0, 0] * down, (1 - a) * m[0, 1] * up], [a * m[1, 0] * down, a * m[1, 1] * up]])
+            edges += (pairs / pairs.sum((0, 1))).sum(2)
         one, zero = m[1, 1] * up + m[1, 0] * down, m[0, 1] * up + m[0, 0] * down
         b[:n] = one / (one + zero)
     return out
@@ -117,80 +156,128 @@ def document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marked(words: list[str], kinds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which words are toxic. kinds: the words' places, text after text, each followed by -1; toxic: 0 or 1 for each."""
-    before, after = np.roll(kinds, 1), np.roll(kinds, -1)
-    contexts = kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for other, odd in ((before, 0xC2B2AE3D27D4EB4F), (after, 0x165667B19E3779F9)):
-        contexts = (contexts ^ (contexts >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + other.astype(np.uint64) * np.uint64(odd)
-    counts = np.zeros((2, len(words)))
-    for y in (0, 1):
-        own = np.flatnonzero((toxic == y) & (kinds >= 0))
-        _, first = np.unique(contexts[own], return_index=True)
-        counts[y] = np.bincount(kinds[own[first]], minlength=len(words))
-    ratio = (counts[0].sum() + 1) / (counts[1].sum() + 1)
-    least = max(LEAST_CONTEXTS, LEAST_SHARE * np.count_nonzero((kinds < 0) & (toxic == 1)))
-    told = lambda clean, bad: (bad >= least) & ((bad + 0.1) * ratio >= LEAST_RATIO * (clean + 0.1))
-    out = told(*counts)
-    for n in BEGINNINGS:
-        heads: dict[str, int] = {}
-        head = np.array([heads.setdefault(w[:n], len(heads)) if len(w) >= n else -1 for w in words], dtype=np.int64)
-        long = head >= 0
-        if long.any():
-            sums = [np.bincount(head[long], c[long], len(heads)) for c in counts]
-            out[long] |= told(*sums)[head[long]]
+def _least_evidence(tests: int, false_marks: float) -> float:
+    """The likelihood ratio that chance exceeds in so many of the tests (half a chi-squared tail of one degree)."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tests * erfc(sqrt(mid / 2)) / 2 > false_marks else (low, mid)
+    return high
+
+
+class _Evidence:
+    """Contexts of words and word beginnings in clean and toxic texts, for each fold of the training rows."""
+
+    def __init__(self, words: list[str], kinds: np.ndarray, toxic: np.ndarray, fold: np.ndarray):
+        """kinds: the words' places, text after text, each followed by -1; toxic, fold: of each of these places."""
+        before, after = np.roll(kinds, 1), np.roll(kinds, -1)
+        contexts = kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for other, odd in ((before, 0xC2B2AE3D27D4EB4F), (after, 0x165667B19E3779F9)):
+            contexts = (contexts ^ (contexts >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + other.astype(np.uint64) * np.uint64(odd)
+        self.counts = np.zeros((FOLDS + 1, 2, len(words)))  # the last: of all folds, a context once
+        for f, y in product(range(FOLDS + 1), (0, 1)):
+            own = np.flatnonzero((toxic == y) & ((fold == f) | (f == FOLDS)) & (kinds >= 0))
+            _, first = np.unique(contexts[own], return_index=True)
+            self.counts[f, y] = np.bincount(kinds[own[first]], minlength=len(words))
+        self.heads, self.tests = [], len(words)
+        for n in BEGINNINGS:
+            heads: dict[str, int] = {}
+            head = np.array([heads.setdefault(w[:n], len(heads)) if len(w) >= n else -1 for w in words], dtype=np.int64)
+            if heads:
+                self.heads.append((head, len(heads)))
+                self.tests += len(heads)
+
+    def marked(self, false_marks: float, ratio: float, without: int | None = None) -> np.ndarray:
+        """Which words are toxic, by all folds (but one)."""
+        clean, bad = self.counts[FOLDS] if without is None else sum(self.counts[f] for f in range(FOLDS) if f != without)
+        share = (bad.sum() + 1) / (clean.sum() + bad.sum() + 2)
+        least = _least_evidence(self.tests, false_marks)
+
+        def told(clean: np.ndarray, bad: np.ndarray) -> np.ndarray:
+            n = clean + bad
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g = 2 * (np.where(bad > 0, bad * np.log(bad / (n * share)), 0) + np.where(clean > 0, clean * np.log(clean / (n * (1 - share))), 0))
+            return (g >= least) & ((bad + 0.1) * (1 - share) >= ratio * (clean + 0.1) * share)
+
+        out = told(clean, bad)
+        for head, size in self.heads:
+            long = head >= 0
+            out[long] |= told(*(np.bincount(head[long], c[long], size) for c in (clean, bad)))[head[long]]
+        return out
+
+
+def _chosen(evidence: _Evidence, kinds: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """The choices under which marks made of the other folds tell the toxic texts of each fold best (F1; the strictest of equals)."""
+    best, out = -1.0, (FALSE_MARKS[0], RATIOS[0])
+    some = np.flatnonzero(lengths)
+    at = (np.cumsum(lengths) - lengths)[some]
+    for choice in product(FALSE_MARKS, RATIOS):
+        hit = np.zeros(len(lengths), dtype=bool)
+        for f in range(FOLDS):
+            if len(some):
+                marked = evidence.marked(*choice, without=f)
+                hit[some] |= np.logical_or.reduceat(marked[kinds], at) & (fold[some] == f)
+        right = np.count_nonzero(hit & (toxic == 1))
+        f1 = 2 * right / max(1, np.count_nonzero(hit) + np.count_nonzero(toxic == 1))
+        if f1 > best + 1e-9:
+            best, out = f1, choice
     return out
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """toxic: 0 or 1 for each text; both must occur."""
+    y = np.array(toxic)
     place: dict[str, int] = {}
-    runs = [np.array([place.setdefault(w, len(place)) for w in TOKEN.findall(t.lower())], dtype=np.int32) for t in texts]
+    runs = [np.array([place.setdefault(w, len(place)) for w in TOKEN.findall(t)], dtype=np.int32) for t in texts]
     lengths = np.array([len(r) for r in runs], dtype=np.int64)
     kinds = np.concatenate([*runs, np.zeros(0, np.int32)])
-    fenced = np.concatenate([x for r in runs for x in (r, np.array([-1], np.int32))])
-    words = list(place)
-    truth = _marked(words, fenced, np.repeat(np.array(toxic), lengths + 1))[kinds].astype(float) * np.repeat(np.array(toxic), lengths)
-    del fenced, runs
-    each = array("q")
-    columns = array("q")
-    for w in words:
+    del runs
+    tokens = list(place)
+    # marks are of words, whatever their case; copies of a text are in one fold
+    lowered: dict[str, int] = {}
+    low = np.array([lowered.setdefault(w.lower(), len(lowered)) for w in tokens], dtype=np.int32)
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) // 7 % FOLDS for t in texts])
+    words = low[kinds] if len(kinds) else kinds
+    fenced = np.insert(words, np.cumsum(lengths), -1)
+    evidence = _Evidence(list(lowered), fenced, np.repeat(y, lengths + 1), np.repeat(fold, lengths + 1))
+    del fenced
+    choice = _chosen(evidence, words, lengths, y, fold)
+    truth = evidence.marked(*choice)[words].astype(float) * np.repeat(y, lengths)
+    del evidence, words
+
+    each, columns, sides = array("q"), array("q"), array("q")
+    for w in tokens:
         found = features(w)
         each.append(len(found))
         columns.extend(found)
-    rows, columns = np.repeat(np.arange(len(words)), np.frombuffer(each, dtype=np.int64)), np.frombuffer(columns, dtype=np.int64)
-    size = 1 << HASH_BITS
+        sides.extend(beside(w))
+    rows, columns = np.repeat(np.arange(len(tokens)), np.frombuffer(each, dtype=np.int64)), np.frombuffer(columns, dtype=np.int64)
+    before, after = np.frombuffer(sides, dtype=np.int64).reshape(-1, 2).T
+    size, n = 1 << HASH_BITS, len(tokens)
     rate = min(max(truth.mean() if len(truth) else 0, 1e-4), 0.5)
     model = Model(np.zeros(size, dtype=np.float64), float(np.log(rate / (1 - rate))), np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
+    inner = followers(lengths)
+    emission = lambda: emissions(kinds, inner, np.bincount(rows, model.weights[columns], n) + model.bias, model.weights[before], model.weights[after])
     # long chains are cut for learning alone, so that a step handles them side by side
-    cuts = np.concatenate([[min(256, n - a) for a in range(0, n, 256)] for n in lengths if n] or [[]]).astype(np.int64)
+    cuts = np.concatenate([[min(256, k - a) for a in range(0, k, 256)] for k in lengths if k] or [[]]).astype(np.int64)
+    linked = followers(cuts)
+    a, b = truth[linked - 1], truth[linked]
+    moved = np.array([[np.sum((1 - a) * (1 - b)), np.sum((1 - a) * b)], [np.sum(a * (1 - b)), np.sum(a * b)]])
     scale = max(1.0, truth.sum())
-    grown, grown_bias = np.full(size, 1e-8), 1e-8
-    both = np.zeros(len(truth), dtype=bool)
-    if len(cuts):
-        both[:] = True
-        both[np.cumsum(cuts)[:-1]] = False
-        both[0] = False
-    inner = np.flatnonzero(both)
-    moved = np.zeros((2, 2))
-    if len(inner):
-        a, b = truth[inner - 1], truth[inner]
-        moved = np.array([[np.sum((1 - a) * (1 - b)), np.sum((1 - a) * b)], [np.sum(a * (1 - b)), np.sum(a * b)]]) + 1.0
-        # transitions from their counts, against independence: the emissions carry the rates
-        share = moved / moved.sum()
-        model.moves = np.log(share / np.outer(share.sum(1), share.sum(0))).clip(-3, 3)
+    grown, grown_bias, grown_moves = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(STEPS if len(truth) and truth.any() else 0):
-        by_kind = np.bincount(rows, model.weights[columns], len(words)) + model.bias
-        p = marginals(by_kind[kinds], cuts, model.moves)
-        off = (p - truth) / scale
-        slope = np.bincount(columns, np.bincount(kinds, off, len(words))[rows], size) + L2 * model.weights
+        expected = np.zeros((2, 2))
+        off = (marginals(emission(), cuts, model.moves, expected) - truth) / scale
+        slope = np.bincount(columns, np.bincount(kinds, off, n)[rows], size) + L2 * model.weights
+        slope += np.bincount(before, np.bincount(kinds[inner - 1], off[inner], n), size) + np.bincount(after, np.bincount(kinds[inner], off[inner - 1], n), size)
         grown += slope**2
         model.weights -= RATE * slope / np.sqrt(grown)
         grown_bias += off.sum() ** 2
         model.bias -= 0.2 * RATE * off.sum() / np.sqrt(grown_bias)
-    by_kind = np.bincount(rows, model.weights[columns], len(words)) + model.bias
-    x = document_features(marginals(by_kind[kinds], lengths, model.moves) if len(kinds) else np.zeros(0), lengths)
-    y = np.array(toxic, dtype=float)
+        slope = (expected - moved) / scale + L2 * model.moves
+        grown_moves += slope**2
+        model.moves -= 0.2 * RATE * slope / np.sqrt(grown_moves)
+    x = document_features(marginals(emission(), lengths, model.moves) if len(kinds) else np.zeros(0), lengths)
     w = model.score
     for _ in range(50):  # Newton steps with a small penalty
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -208,26 +295,31 @@ class _Scorer:
     """A worker's copy of the model, with the tokens it has met."""
 
     def __init__(self, model: Model | None):
-        self.model, self.cache = model, {}
+        self.model, self.cache, self.parts = model, {}, array("d")  # of each token: for itself, the next and the one before
 
-    def _emission(self, token: str) -> float:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        e = self.cache[token] = self.model.bias + float(self.model.weights[features(token)].sum())
-        return e
+    def _met(self, token: str) -> int:
+        weights, (before, after) = self.model.weights, beside(token)
+        self.parts.extend((self.model.bias + float(weights[features(token)].sum()), weights[before], weights[after]))
+        k = self.cache[token] = len(self.cache)
+        return k
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores; the tokens' marginals, text after text; their number in each text."""
         lengths = np.zeros(len(texts), dtype=np.int64)
         if self.model is None:
             return np.zeros(len(texts)), np.zeros(0), lengths
-        values: list[float] = []
-        get, emission = self.cache.get, self._emission
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+            del self.parts[:]
+        kinds: list[int] = []
+        get, met = self.cache.get, self._met
         for k, t in enumerate(texts):
             found = TOKEN.findall(t)
             lengths[k] = len(found)
-            values += [e if (e := get(w)) is not None else emission(w) for w in found]
-        p = marginals(np.array(values), lengths, self.model.moves)
+            kinds += [n if (n := get(w)) is not None else met(w) for w in found]
+        own, before, after = np.array(self.parts).reshape(-1, 3).T
+        emission = emissions(np.array(kinds, dtype=np.int64), followers(lengths), own, before, after)
+        p = marginals(emission, lengths, self.model.moves)
         return 1 / (1 + np.exp(-np.clip(document_features(p, lengths) @ self.model.score, -30, 30))), p, lengths
 
 
@@ -270,7 +362,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: tuple[int, int] = TRAI
     classes = [known.filter(F.col("_toxic") == y).orderBy("_at", "doc_id").limit(train_docs[y]) for y in (0, 1)]
     sample = F.broadcast(classes[0].unionByName(classes[1]).withColumnRenamed("doc_id", "_of"))  # sum(train_docs) rows at most
     rows = docs.select(F.col("doc_id"), text_of().alias("_text")).filter(F.length("_text") <= TRAIN_CHARS)
-    got = sorted((r["_at"], r["doc_id"], r["_text"], int(r["_toxic"])) for r in rows.join(sample, F.col("doc_id") == F.col("_of")).select("_at", "doc_id", "_text", "_toxic").collect())
+    # a row for each labelled id, however many rows have it
+    rows = rows.join(sample, F.col("doc_id") == F.col("_of")).groupBy("_at", "doc_id", "_toxic").agg(F.min("_text").alias("_text"))
+    got = sorted((r["_at"], r["doc_id"], r["_text"], int(r["_toxic"])) for r in rows.collect())
     if len({x[3] for x in got}) < 2:
         return None
     return fit([x[2] for x in got], [x[3] for x in got])

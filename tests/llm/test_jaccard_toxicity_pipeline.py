@@ -109,16 +109,21 @@ def test_marginals_against_enumeration():
     rng = np.random.default_rng(2)
     lengths = np.array([3, 0, 5, 1])
     e, moves = rng.normal(size=9), rng.normal(size=(2, 2))
-    got = toxicity.marginals(e, lengths, moves)
-    at = 0
+    edges = np.zeros((2, 2))
+    got = toxicity.marginals(e, lengths, moves, edges)
+    at, moved = 0, np.zeros((2, 2))
     for n in lengths:
-        total, on = 0.0, np.zeros(n)
+        total, on, own = 0.0, np.zeros(n), np.zeros((2, 2))
         for tags in product((0, 1), repeat=int(n)):
             w = np.exp(sum(e[at + k] for k, y in enumerate(tags) if y) + sum(moves[a, b] for a, b in zip(tags, tags[1:])))
             total += w
             on += w * np.array(tags)
+            for a, b in zip(tags, tags[1:]):
+                own[a, b] += w
         assert np.allclose(got[at : at + n], on / total)
+        moved += own / total
         at += n
+    assert np.allclose(edges, moved)
 
 
 def toxic_corpus(n):
@@ -155,6 +160,66 @@ def test_toxicity_held_out(docs, spark):
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {k for k, r in got.items() if not r.predicted}
 
 
+def test_scores_against_enumeration(docs, spark):
+    from itertools import product
+    from math import exp, log
+
+    rows, labels = toxic_corpus(200)
+    model = toxicity.fit([t for _, t in rows], [y for _, _, y in labels])
+    assert abs(model.moves).max() > 0
+    texts = [(k, " ".join(t.split()[:n])) for n, (k, t) in zip([1, 2, 5, 9, 9, 8, 7] * 4, rows)] + [(700, "Zzbad QQVILE, zzbad!"), (701, None), (702, "...")]
+    got = {r.doc_id: r for r in toxicity.score(docs(texts), model).collect()}
+    for i, t in texts:
+        words = toxicity.TOKEN.findall(t or "")
+        e = []
+        for k, w in enumerate(words):
+            found = list(toxicity.features(w))
+            found += [toxicity.beside(words[k - 1])[0]] if k else []
+            found += [toxicity.beside(words[k + 1])[1]] if k + 1 < len(words) else []
+            e.append(model.bias + sum(float(model.weights[f]) for f in found))
+        total, on = 0.0, [0.0] * len(words)
+        for tags in product((0, 1), repeat=len(words)):
+            weight = exp(sum(x for x, y in zip(e, tags) if y) + sum(model.moves[a, b] for a, b in zip(tags, tags[1:])))
+            total += weight
+            for k, y in enumerate(tags):
+                on[k] += weight * y
+        p = [min(max(x / total, 1e-3), 1 - 1e-3) for x in on]
+        peak = max(p, default=None)
+        x = (1.0, log(1 + sum(-log(1 - q) for q in p if q > 0.02)) if p else 0.0, log(peak / (1 - peak)) if p else -7.0)
+        want = 1 / (1 + exp(-sum(a * b for a, b in zip(x, model.score))))
+        assert abs(got[i].score - want) < 1e-5, t
+        assert len(got[i].spans) == sum(q / total >= toxicity.SPAN for q in on)
+
+
+def test_marks_do_not_depend_on_the_size_of_the_sample():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(3000)]
+
+    def sample(n, toxic):
+        out = [[rng.choice(words) for _ in range(60)] for _ in range(n)]
+        for k in range(14):  # a rare word, on as many toxic texts whatever their number
+            if toxic:
+                out[k][rng.randrange(60)] = "vexblort"
+        return [" ".join(w) for w in out]
+
+    for n in (60, 400):
+        clean, bad = sample(2 * n, False), sample(n, True)
+        for k in range(15, n):
+            bad[k] += " " + rng.choice(words) + " qqvile " + rng.choice(words)
+        model = toxicity.fit(clean + bad, [0] * len(clean) + [1] * len(bad))
+        score, p, _ = toxicity._Scorer(model)([f"{words[1]} vexblort {words[2]}", f"{words[1]} {words[2]}"])
+        assert p[1] > 0.5 and max(p[0], *p[2:]) < 0.5, n
+        assert score[0] > score[1]
+
+
+def test_repeated_labelled_ids_are_one_text(docs, spark):
+    rows, labels = toxic_corpus(120)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    again = [(0, rows[0][1] + " longer")] * 300
+    a, b = toxicity.learn(docs(rows), known), toxicity.learn(docs(rows + again), known)
+    assert np.array_equal(a.weights, b.weights)
+
+
 def test_toxicity_without_both_classes(docs, spark):
     known = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     d = docs([(1, "a b"), (2, None)])
