@@ -1,20 +1,22 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
 Vectors are integers. A block of candidates is indexed by impact: its posting segments are the components whose
-magnitude has the same number of bits, for all dimensions. For a block of queries the segments are processed by descending
-impact; after each, what is left of a score is at most |q| * |rest of the candidate| either way (Cauchy-Schwarz). A
-candidate whose upper bound stays under the k-th best lower bound (of this block or of results so far) cannot be a member.
+magnitude has the same number of bits, for all dimensions. For a block of queries the segments are processed by
+descending impact. While few bits are left, what is missing of a score is bounded either way: by the length of the rest
+of the candidate times the length of the query over the dimensions of that rest (Cauchy-Schwarz). A candidate whose upper
+bound stays under the k-th best lower bound (of this block or of results so far) cannot be a member.
 Processing stops once few enough candidates are possible, which the bounds prove, and those are rescored exactly. Where
 the bounds prove nothing, all segments are processed and the scores are exact by themselves.
 
-Distribution: queries (a stated set) and candidates are packed into blocks of bounded size by a hash of their id. Each
-pair of blocks meets once, by (query block, slot); a task keeps the k best so far of the block it is at, so that it
+Distribution: queries (a stated set) and candidates are dealt into blocks of bounded size, row by row, so repeated ids
+do not gather. Each pair of blocks meets once, by (query block, slot); query blocks are the larger ones, since
+candidates travel once for each of them. A task keeps the k best so far of the block it is at, so that it
 returns k rows for each query and run of blocks, and their best are ranked at the end.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; missing components of
-shorter vectors count as 0; rows with the query's own id are not its candidates; of repeated query ids the least vector
-is asked; repeated candidates count each; ties go to the smaller id; fewer candidates than k give all; other columns
-are ignored.
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
+missing components of shorter vectors count as 0; rows with the query's own id are not its candidates; of repeated query
+ids the least vector is asked; repeated candidates count each; ties go to the smaller id; fewer candidates than k give
+all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +31,21 @@ from pyspark.sql import functions as F
 from .common import partitions, released, saved
 
 K = 20
-BLOCK = 4096
+#: Candidates and queries of a block.
+BLOCK, ASKED = 4096, 16_384
 #: Queries scored at a time within a block.
 STRIP = 512
 #: Possible members are rescored once they are so small a share of a block.
 FEW = 0.02
+#: Bounds are asked for once no more than so many segments are left.
+LATE = 2
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 64.0) -> DataFrame:
     """vec_id, v: floor(scale * x) of each component, for the vectors that take part."""
     v = F.col(embedding)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return vectors.filter(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def segments(block: np.ndarray) -> list[np.ndarray]:
@@ -49,29 +54,34 @@ def segments(block: np.ndarray) -> list[np.ndarray]:
     return [np.where(bits == b, block, 0) for b in range(int(bits.max(initial=0)), 0, -1) if (bits == b).any()]
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its place) the ids and exact scores of all that may be among its k best; floor: scores below it cannot."""
+def best(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int, stops: dict[str, int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (its place) the ids and exact scores of all that may be among its k best; floor: scores below it cannot.
+
+    stops: "strips" and "stopped" count the strips of queries, and those that proved a stop before the last segment.
+    """
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * block.shape[1]
     if largest >= 2.0**53:
         raise ValueError("components are too large for exact scores")
     kind = np.float32 if largest < 2.0**24 else np.float64
     parts = segments(block)
-    rests, rest = [], (block.astype(np.float64) ** 2).sum(1)
-    for part in parts:
-        rest = rest - (part.astype(np.float64) ** 2).sum(1)
-        rests.append(np.sqrt(np.maximum(rest, 0)) * (1 + 1e-6))
+    late = range(max(0, len(parts) - 1 - LATE), len(parts) - 1)
+    rests = {}  # after a segment: the length of each candidate's rest, and the dimensions where it is
+    for n in late:
+        rest = sum(parts[n + 1 :]).astype(np.float32)
+        rests[n] = np.sqrt((rest.astype(np.float64) ** 2).sum(1)).astype(np.float32) * np.float32(1.0001), (rest != 0).astype(np.float32).T
     parts = [p.astype(kind).T for p in parts]
     for at in range(0, len(queries), STRIP):
         q = queries[at : at + STRIP].astype(kind)
-        size = np.sqrt((q.astype(np.float64) ** 2).sum(1))[:, None] * (1 + 1e-6)
+        squares = q.astype(np.float32) ** 2
         own = query_ids[at : at + STRIP, None] == ids[None, :]
         low = floor[at : at + STRIP].astype(np.float64)
         scores = np.zeros((len(q), block.shape[0]), kind)
         possible, whole = ~own, False
         for n, part in enumerate(parts):
             scores += q @ part
-            if n + 1 < len(parts) and n >= 1:
-                slack = (size * rests[n][None, :]).astype(np.float32) * np.float32(1.00001) + np.float32(1e-3)
+            if n in rests:
+                length, where = rests[n]
+                slack = np.sqrt(squares @ where) * np.float32(1.0001) * length + np.float32(1e-3)
                 if len(ids) > k:
                     lower = np.where(own, -np.inf, scores - slack)
                     low = np.maximum(low, np.partition(lower, -k, axis=1)[:, -k])
@@ -82,6 +92,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.
             whole, possible = True, ~own
             if len(ids) > k:
                 low = np.maximum(low, np.partition(np.where(own, -np.inf, scores), -k, axis=1)[:, -k])
+        if stops is not None:
+            stops["strips"] = stops.get("strips", 0) + 1
+            stops["stopped"] = stops.get("stopped", 0) + (not whole)
         for j in range(len(q)):
             some = np.flatnonzero(possible[j] & (scores[j] >= low[j])) if whole else np.flatnonzero(possible[j])
             exact = block[some] @ queries[at + j]
@@ -134,14 +147,14 @@ def _searched(k: int):
     return run
 
 
-def top_k(rows: DataFrame, asked: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, asked: DataFrame, k: int = K, block: int = BLOCK, block_asked: int = ASKED) -> DataFrame:
     """query_id, rank, vec_id, score. rows, asked: vec_id, v (array of long)."""
     spark = rows.sparkSession
     asked = saved(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
     rows = saved(rows, "topk-candidates")
-    here, there = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // block))
+    here, there = max(1, -(-asked.count() // block_asked)), max(1, -(-rows.count() // block))
     slots = min(there, max(1, partitions(spark) // here))
-    packed = lambda df, n, name: df.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"_{name}"))  # noqa: E731  about `block` rows
+    packed = lambda df, n, name: df.groupBy(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"_{name}"))  # noqa: E731  about `block` rows
     q = packed(asked, here, "q").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     c = packed(rows, there, "c").withColumn("slot", F.pmod("c", F.lit(slots)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(here - 1).cast("long"))))
     pairs = c.join(q, ["q", "slot"]).select("q", "_q", "_c")

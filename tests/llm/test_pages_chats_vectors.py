@@ -130,3 +130,33 @@ def test_topk_stops_on_proof_and_rescores():
         exact = block @ q[j]
         want = set(sorted((i for i in range(3000) if i != own), key=lambda i: (-exact[i], i))[:20])
         assert want <= set(found[j][0]) and (exact[found[j][0]] == found[j][1]).all()
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_topk_null_and_repeated_ids(spark, few):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-3, 4, size=(90, 8)).astype(float)
+    rows = [(k, v) for k, v in enumerate(x.tolist())] + [(None, x[0].tolist())] * 5 + [(33, x[33].tolist())] * 60 + [(20, x[20].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    v = exact_topk.integers(df, scale=1.0)
+    got = exact_topk.top_k(v, v.filter("vec_id % 20 = 0"), block=few * 4, block_asked=few).collect()
+    known = [(i, np.array(e).astype(int)) for i, e in rows if i is not None]
+    asked = {i: e for i, e in known if i % 20 == 0}
+    want = []
+    for q, a in asked.items():
+        best = sorted((-int(a @ b), i) for i, b in known if i != q)[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert exact_topk.top_k(v.filter("false"), v.filter("false")).count() == 0
+
+
+def test_topk_proves_stops_on_the_test_tables():
+    import duckdb
+
+    got = duckdb.sql("select vec_id, embedding from '/root/testdata/sf0.1/embeddings.parquet' where embedding is not null").fetchall()
+    ids, x = np.array([g[0] for g in got]), np.floor(64 * np.array([g[1] for g in got], dtype=np.float32).astype(float)).astype(np.int64)
+    stops, asked = {}, ids % 20 == 0
+    for _ in exact_topk.best(x[asked], ids[asked], x, ids, np.full(int(asked.sum()), -(2**62)), 20, stops):
+        pass
+    print(stops)
+    assert stops["stopped"] > 0
