@@ -6,8 +6,8 @@ in a random direction chosen so that expectations hold, until one has 0 or 1 ext
 of a source so stay at its target exactly, but for the last fraction, which goes to the nearer whole: at most half
 of one document's words are missed.
 
-Distribution: documents are dealt by a hash of doc_id into groups of about GROUP within their source, whatever the
-source's share. Each group is folded in one row of bounded length and leaves one fraction at most; the fractions are dealt into
+Distribution: documents are dealt by a hash of doc_id, and of their number among equal rows, into groups of about GROUP
+within their source, whatever the share of a source or of one repeated (or null) doc_id. Each group is folded in one row of bounded length and leaves one fraction at most; the fractions are dealt into
 groups again, until each source has one group: a reduction tree of log(n) / log(GROUP) levels. Draws are hashes of the
 seed and the documents that meet, and groups are folded from the longest document to the shortest, so reruns agree. A
 source's last group is drawn ATTEMPTS times, and the draw that leaves the fewest words to round stands.
@@ -133,11 +133,14 @@ def mix(sizes: DataFrame, shares: DataFrame, group: int = GROUP) -> DataFrame:
     """
     shares = shares.select(F.col("source").alias("_source"), "source_size", "n", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
     shares = shares.withColumn("floor", F.floor(F.col("rate") + EPS)).withColumn("p", F.greatest(F.col("rate") - F.col("floor"), F.lit(0.0)))
-    rows = sizes.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # equal rows are numbered, so that they part: which of them has which number makes no difference
+    equal = sizes.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("_n"))
+    rows = equal.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+    rows = rows.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     groups = F.ceil(F.col("n") / group)
     split = (F.col("size") > 0) & (F.col("p") > EPS)
     alone = lambda level: F.col("n") <= group ** (level + 1)
-    item = rows.filter(split).select("source", "n", alone(0).alias("alone"), (-F.col("size")).cast("double").alias("order"), F.pmod(F.xxhash64("doc_id", F.lit(SEED)), groups).alias("group"), F.xxhash64(F.lit(SEED), "doc_id").alias("draw"), F.col("doc_id").cast("long").alias("id"), F.col("size").cast("double").alias("size"), "p")
+    item = rows.filter(split).select("source", "n", alone(0).alias("alone"), (-F.col("size")).cast("double").alias("order"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "again", F.lit(SEED)), groups).alias("group"), F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "again").alias("draw"), F.col("doc_id").cast("long").alias("id"), F.col("size").cast("double").alias("size"), "p")
     whole = rows.filter(~split).select("source", F.col("doc_id").cast("long").alias("doc_id"), "size", F.lit(0.0).alias("extra"))
     largest = shares.agg(F.max("n")).head()[0] or 0
     parts, level, left = [whole], 0, math.ceil(largest / group)

@@ -1,8 +1,11 @@
 import hashlib
+import math
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from tarnlight.llm import exact_dedup, sentencepiece_bpe, source_mix
 from tarnlight.llm.queries import model_path
@@ -154,3 +157,98 @@ def test_agendas_agree():
     for _ in range(500):
         s = ["▁", *(rng.choice("theinrsao") for _ in range(rng.randint(1, 40)))]
         assert merger.few(list(s)) == merger.many(list(s))
+
+
+class Twin:
+    """The rounding, plainly, one document after another; its draws are the same hashes."""
+
+    def __init__(self, group):
+        self.group, self.seed = group, source_mix.SEED
+
+    @staticmethod
+    def hashed(*parts):
+        h = 42
+        for kind, v in parts:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(struct.pack("<" + kind, v), seed=h)
+        return h
+
+    @staticmethod
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def fold(self, items, level, attempt):
+        carry, done = items[0], []
+        for other in items[1:]:
+            if carry["p"] < source_mix.EPS or carry["p"] > 1 - source_mix.EPS:
+                done.append(carry | {"p": round(carry["p"])})
+                carry = other
+                continue
+            down = min(carry["p"] * carry["size"], (1 - other["p"]) * other["size"])
+            up = min((1 - carry["p"]) * carry["size"], other["p"] * other["size"])
+            u = (self.hashed(("i", self.seed), ("q", carry["id"]), ("q", carry["draw"]), ("q", other["id"]), ("q", other["draw"]), ("i", level), ("i", attempt)) >> 11) / float(1 << 53)
+            moved = -down if u * (up + down) < up else up
+            p, q = carry["p"] + moved / carry["size"], other["p"] - moved / other["size"]
+            if min(abs(p), abs(1 - p)) * carry["size"] <= min(abs(q), abs(1 - q)) * other["size"]:
+                done.append(carry | {"p": math.floor(p + 0.5)})
+                carry = other | {"p": q}
+            else:
+                done.append(other | {"p": math.floor(q + 0.5)})
+                carry = carry | {"p": p}
+        return carry, done
+
+    def copies(self, rows, target, levels):
+        """rows: (doc_id, size) of one source. A multiset of (doc_id, size, copies)."""
+        total, n = sum(s for _, s in rows), len(rows)
+        rate = target / total if total else 0.0
+        floor = math.floor(rate + source_mix.EPS)
+        p, out, groups, seen = max(rate - floor, 0.0), [], defaultdict(list), Counter()
+        for i, s in rows:
+            seen[i, s] += 1
+            if not (s > 0 and p > source_mix.EPS):
+                out.append((i, s, floor))
+                continue
+            again = seen[i, s]
+            group = self.signed(self.hashed(("q", i), ("q", again), ("i", self.seed))) % math.ceil(n / self.group)
+            groups[group].append({"order": -float(s), "draw": self.signed(self.hashed(("i", self.seed), ("q", i), ("q", again))), "id": i, "size": float(s), "p": p})
+        for level in range(levels):
+            carried = defaultdict(list)
+            for g, items in groups.items():
+                items.sort(key=lambda x: (x["order"], x["draw"], x["id"] is not None, x["id"], x["size"], x["p"]))
+                tries = [self.fold(items, level, r) for r in range(1, source_mix.ATTEMPTS + 1 if n <= self.group ** (level + 1) else 2)]
+                carry, done = min(tries, key=lambda t: min(t[0]["p"], 1 - t[0]["p"]) * t[0]["size"])
+                out += [(x["id"], int(x["size"]), floor + x["p"]) for x in done]
+                carried[g // self.group].append(carry)
+            groups = carried
+        return Counter(out + [(x["id"], int(x["size"]), floor + math.floor(x["p"] + 0.5)) for items in groups.values() for x in items])
+
+
+@pytest.mark.parametrize("group", [5, 100])
+def test_mix_against_a_plain_twin(docs, group):
+    import random
+
+    rng = random.Random(group)
+    rows = [(k, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["hot", "hot", "hot", "b", None])) for k in range(300)]
+    rows += [(7, "w w w", "hot")] * 60 + [(None, "w " * 9, "hot")] * 40  # repeated and null ids
+    sizes = source_mix.sizes_of(docs(rows))
+    got = source_mix.mix(sizes, source_mix.targets(sizes), group=group).collect()
+    of = defaultdict(list)
+    for i, t, s in rows:
+        of[s].append((i, len(WORD.findall(t))))
+    want = wanted_targets({s: sum(n for _, n in x) for s, x in of.items()})
+    levels, left = 1, math.ceil(max(map(len, of.values())) / group)
+    while left > 1:
+        levels, left = levels + 1, math.ceil(left / group)
+    shares = {r.source: r.target for r in got}
+    for s, x in of.items():
+        assert shares[s] == pytest.approx(want[s])
+        assert Counter((r.doc_id, r["size"], r.copies) for r in got if r.source == s) == Twin(group).copies(x, shares[s], levels), s
+
+
+def test_mix_parts_rows_of_one_id(docs):
+    rows = [(1, "w " * 10, "a")] * 400 + [(None, "w " * 10, "a")] * 400 + [(k + 2, "w " * 10, "b") for k in range(400)]
+    sizes = source_mix.sizes_of(docs(rows))
+    got = source_mix.mix(sizes, source_mix.targets(sizes), group=50).collect()
+    for s in ("a", "b"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5.1
