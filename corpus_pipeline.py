@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlight.llm import exact_dedup, jaccard_join, sentencepiece_bpe, source_mix, toxicity
-from tarnlight.llm.common import shared_folder, without
+from tarnlight.llm.common import removed, shared_folder, spread, without
 from tarnlight.llm.queries import model_path
 
 #: No stage but exact dedup can be said in SQL.
@@ -55,11 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; what each returns is written to the shared folder and read again, and deleted once the next is written."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
