@@ -12,8 +12,10 @@ In one total order of shingles, linked sets share a shingle among their first n
    shingles as a link needs in both prefixes go on; groups are then expanded to their members and each pair of members
    is verified on whole sets.
 4. Hot shingles in dense prefixes, and groups of many members with what they pair with, make families. A family's
-   members are dealt into blocks of bounded size; each pair of blocks is verified at once, on whole sets, and returns
-   links that connect what is linked: copies of a text by the thousand never make all their pairs.
+   members are dealt into blocks of bounded size, those of families of more than one block by bands of set sizes, so
+   that only blocks of one band and of bands side by side can hold links. Each such pair of blocks is verified at once,
+   on whole sets, and returns links that connect what is linked: copies of a text by the thousand never make all their
+   pairs, and a phrase that all documents share doesn't bring short ones and long ones together.
 5. Links make components. A document's component_id is the least doc_id that links reach.
 
 No partner, bucket or candidate is capped. What is broadcast is counted first (BROADCAST_ROWS).
@@ -25,6 +27,7 @@ doc_id are one document, with the links of all its rows; extra columns are ignor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -316,7 +319,7 @@ class Join:
         # pairs of one component travel together where each document then is sent less often than once for each pair
         cluster = self.dealt(components(single).select(F.col("node").alias("id"), F.col("component").alias("family")).join(sized, "id"))
         of_pairs = single.join(cluster.select("id", "family"), F.col("a") == F.col("id")).groupBy("family").agg(F.count(F.lit(1)).alias("pairs"))
-        cluster = saved(cluster.join(of_pairs, "family").withColumn("together", F.col("docs") * F.col("blocks") <= 2 * F.col("pairs")), "clusters")
+        cluster = saved(cluster.join(of_pairs, "family").withColumn("together", F.col("docs") * F.col("whole") <= 2 * F.col("pairs")), "clusters")
         found = found.unionByName(self.in_blocks(cluster.filter("together")))
         apart = cluster.filter("not together").select("id")
         found = found.unionByName(self.verified(single.join(apart, F.col("a") == F.col("id"), "left_semi")))
@@ -331,18 +334,38 @@ class Join:
         return both.filter(common * (self.num + self.den) >= (F.size(x) + F.size(y)) * self.num).select("a", "b")
 
     def dealt(self, family: DataFrame) -> DataFrame:
-        """family (id, family, n) with docs, blocks, block: families of one document go, others are dealt into blocks."""
-        sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1")
-        blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        return family.join(sizes.select("family", "docs", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "family", "docs", "blocks", "block")
+        """family (id, family, n) with docs, whole (blocks that all of it would fill), band, block: families of one document go."""
+        fill = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), fill().alias("whole")).filter("docs > 1")
+        # linked sizes are a factor of den / num apart at most, less than the width of a band
+        band = F.floor(F.log(F.col("n")) / math.log(self.den / self.num * 1.001)).cast("int") if self.num < self.den else F.col("n").cast("int")
+        rows = saved(family.join(sizes, "family").withColumn("band", F.when(F.col("whole") > 1, band).otherwise(0)), "dealt")
+        bands = rows.groupBy("family", "band").agg(fill().alias("blocks"))
+        rows = rows.join(bands, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        near = [bands.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((1, "lower"), (-1, "upper"))]
+        for other in near:
+            rows = rows.join(other, ["family", "band"], "left")
+        none = F.lit(0)
+        return rows.select("id", "family", "docs", "whole", "band", "block", "blocks", F.coalesce("lower", none).alias("lower"), F.coalesce("upper", none).alias("upper"))
 
     def in_blocks(self, dealt: DataFrame) -> DataFrame:
         """Links within families, as dealt() gives them, that connect what is linked there."""
-        sets = self.sets(dealt.select("id", "family", "block", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-        one = F.struct("id", side.alias("side"), "tokens")
-        tasks = sets.groupBy("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(one).alias("members"))  # two blocks
-        return tasks.select("members").mapInArrow(released(_blocks(self.num, self.den)), "a long, b long")
+        up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def task(low: Column, i: Column, high: Column, j: Column, side: Column) -> Column:
+            return F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side"))
+
+        band, block = F.col("band"), F.col("block")
+        side = lambda x: F.when(block == x, 2).when(block < x, 0).otherwise(1)
+        tasks = F.concat(
+            F.transform(up_to("blocks"), lambda x: task(band, F.least(block, x), band, F.greatest(block, x), side(x))),
+            F.transform(up_to("upper"), lambda x: task(band, block, band + 1, x, F.lit(0))),
+            F.transform(up_to("lower"), lambda x: task(band - 1, x, band, block, F.lit(1))),
+        )
+        sets = self.sets(saved(dealt.select("id", "family", tasks.alias("tasks")), "block-tasks"))
+        rows = sets.withColumn("t", F.explode("tasks")).select("family", "t.low", "t.i", "t.high", "t.j", F.struct("id", F.col("t.side").alias("side"), "tokens").alias("one"))
+        pairs = rows.groupBy("family", "low", "i", "high", "j").agg(F.collect_list("one").alias("members"))  # two blocks
+        return pairs.select("members").mapInArrow(released(_blocks(self.num, self.den)), "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
