@@ -133,36 +133,72 @@ def collection(catalog: Catalog, name: str, **options: Any) -> Query:
 
 @dataclass
 class Request:
-    """Parameters of a request: select, where fields as op.value, order, limit, offset, group, facet, count."""
+    """Parameters of a request: select, where, fields as op.value, order, limit, offset, group, facet, count, and lookup.
+
+    lookup names the collections of a chain, outermost first; parameters that begin with one of these names and a dot are
+    that level's: on, parent, select, where, order, limit, offset, required, and its fields as op.value.
+    """
 
     params: dict[str, str] = field(default_factory=dict)
 
     OPS = {"eq": "=", "ne": "!=", "lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "like": "~", "has": "has"}
-    KNOWN = frozenset(("select", "order", "limit", "offset", "group", "facet", "count", "where"))
+    KNOWN = frozenset(("select", "order", "limit", "offset", "group", "facet", "count", "where", "lookup"))
+    LEVEL = frozenset(("select", "order", "limit", "offset", "group", "where", "on", "parent", "required"))
+    TRUE = frozenset(("", "true", "1", "yes"))
 
     def query(self, catalog: Catalog, name: str) -> Query:
+        chain = _split(self.params.get("lookup", ""))
+        own = {k: v for k, v in self.params.items() if k.split(".")[0] not in chain}
+        out = self.clauses(catalog, name, own, self.KNOWN)
+        for f in _split(own.get("facet", "")):
+            path, _, top = f.partition(" top ")
+            out = out.facet(path.strip(), int(top) if top.strip().isdigit() else None)
+        look = None
+        for level in reversed(chain):
+            look = self.level(catalog, level, look)
+        if look:
+            out = out._with(lookup=look)
+        return out._with(count=True) if "count" in own and own["count"].lower() in self.TRUE else out
+
+    def level(self, catalog: Catalog, name: str, below: Lookup | None) -> Lookup:
+        p = {k[len(name) + 1 :]: v for k, v in self.params.items() if k.startswith(f"{name}.")}
+        if "on" not in p:
+            raise QueryError(f"{name}.on names the fields that lead to the parent")
+        child = self.clauses(catalog, name, p, self.LEVEL)
+        on, parent = tuple(_split(p["on"])), tuple(_split(p.get("parent", "id")))
+        if len(on) != len(parent):
+            raise QueryError(f"{name}.on and {name}.parent pair field by field")
+        return Lookup(replace(child.select_, lookup=below), on, parent, "required" in p and p["required"].lower() in self.TRUE)
+
+    def clauses(self, catalog: Catalog, name: str, p: dict[str, str], known: frozenset[str]) -> Query:
         out, c = collection(catalog, name), catalog.get(name)
-        p = self.params
         if p.get("select"):
             out = out.select(*_split(p["select"]))
         if p.get("where"):
             out = out.where(p["where"])
         for f, test in p.items():
-            if f not in self.KNOWN:
+            if f not in known:
                 out = out.where(self.condition(c, f, test))
         if p.get("group"):
             out = out.group(*_split(p["group"]))
         if p.get("order"):
-            out = out.order(*(k[1:] + " desc" if k.startswith("-") else k for k in _split(p["order"])))
+            out = out.order(*map(_order, _split(p["order"])))
         for k in ("limit", "offset"):
             if k in p:
                 if not p[k].isdigit():
                     raise QueryError(f"{k} is a whole number")
                 out = getattr(out, k)(int(p[k]))
-        for f in _split(p.get("facet", "")):
-            out = out.facet(f)
         return out
 
+    def near(self, catalog: Catalog, name: str, body: dict[str, Any]) -> Query:
+        """A search by a vector, which no parameter holds: body has field, vector, limit and perhaps exact and ef."""
+        if unknown := set(body) - {"field", "vector", "limit", "exact", "ef"}:
+            raise QueryError(f"a search has no {sorted(unknown)[0]}")
+        if not isinstance(body.get("vector"), list):
+            raise QueryError("a search takes a vector")
+        out = self.query(catalog, name).limit(int(body.get("limit", 10)))
+        return out._with(near=Near(Path((body["field"],)), Lit(body["vector"]), body.get("ef"), bool(body.get("exact"))))
+
     def condition(self, c, f: str, test: str) -> Any:
         op, _, value = test.partition(".")
         path = Path(tuple(f.split(".")))
@@ -177,6 +213,19 @@ class Request:
         return Binary(self.OPS[op], path, Lit(value if op in ("like",) else _read(c, path, value)))
 
 
+def batch(catalog: Catalog, requests: list[tuple[str, dict[str, str]]]) -> list[Answer]:
+    """Several requests, (collection, parameters) each, over the catalog as it is now."""
+    return [Request(p).query(catalog, name).answer() for name, p in requests]
+
+
+def _order(key: str) -> str:
+    """`-field`, `field.desc` and `field.asc` as an order of the language."""
+    name, _, way = key.rpartition(".")
+    if name and way in ("asc", "desc"):
+        return f"{name} {way}"
+    return key[1:] + " desc" if key.startswith("-") else key
+
+
 def _split(text: str) -> list[str]:
     out, depth, now = [], 0, ""
     for ch in text:

@@ -15,3 +15,11 @@ class Duplicate(QueryError):
 
 class Unmet(QueryError):
     """A `require` did not hold; nothing is written."""
+
+
+class Conflict(QueryError):
+    """Another writer committed first; nothing is written."""
+
+
+class Gone(QueryError):
+    """What is asked for has been let go of already."""

@@ -18,8 +18,10 @@ PARTS = ((re.compile("[⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿가-힯豈-﫿\U000200
 #: All forms of i are one, a dot above is dropped.
 FORMS_OF_I = {ord("I"): "i", ord("İ"): "i", ord("ı"): "i", 0x307: None}
 WORDS = re.compile(r"[^\W_]+")
-ASCII_WORDS = "[a-z0-9]+"
 ASCII = r"^\p{ASCII}*$"
+#: Texts whose terms the JVM finds as Python does: Latin letters but the dotted and dotless I, punctuation, currency signs.
+LATIN = r"^[\x{0}-\x{12F}\x{132}-\x{24F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}]*+$"
+LATIN_WORDS = r"[\p{L}\p{N}]++"
 
 
 FULL_WIDTH = re.compile("[！-～]")
@@ -76,16 +78,16 @@ def terms(text: str, single: bool = False) -> list[str]:
 
 
 def terms_of(text: Column, single: bool = False) -> Column:
-    """The terms of a text column: plain words stay in the JVM, others go through one Arrow batch function."""
+    """The terms of a text column: Latin texts stay in the JVM, others go through one Arrow batch function."""
 
     @F.pandas_udf("array<string>")
     def full(s: pd.Series) -> pd.Series:
         return s.map(lambda t: terms(t, single) if t is not None else [])
 
-    plain = F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORDS), F.lit(0))
+    plain = F.regexp_extract_all(F.lower(text), F.lit(LATIN_WORDS), F.lit(0))
     empty = F.array().cast("array<string>")
-    # a Python function is run for all rows, whatever branch it stands in: ASCII texts reach it as nulls
-    return F.when(text.isNull(), empty).when(text.rlike(ASCII), plain).otherwise(full(F.when(~text.rlike(ASCII), text)))
+    # a Python function is run for all rows, whatever branch it stands in: Latin texts reach it as nulls
+    return F.when(text.isNull(), empty).when(text.rlike(LATIN), plain).otherwise(full(F.when(~text.rlike(LATIN), text)))
 
 
 def counts_of(text: Column, groups: list[list[str]], single: bool = False) -> Column:
@@ -113,10 +115,10 @@ def counts_of(text: Column, groups: list[list[str]], single: bool = False) -> Co
     def among(wanted: list[str]):
         return lambda t: t.isin(wanted)
 
-    found = F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORDS), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(LATIN_WORDS), F.lit(0))
     plain = F.array(F.size(found), *(F.size(F.filter(found, among(g))) for g in groups))
     nothing = F.array(*[F.lit(0)] * width)
-    return F.when(text.isNull(), nothing).when(text.rlike(ASCII), plain).otherwise(full(F.when(~text.rlike(ASCII), text)))
+    return F.when(text.isNull(), nothing).when(text.rlike(LATIN), plain).otherwise(full(F.when(~text.rlike(LATIN), text)))
 
 
 def casefold(text: Column, turkish: bool = False) -> Column:

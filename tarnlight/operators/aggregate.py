@@ -13,7 +13,13 @@ from ..plans.expr import Scope, Typed
 
 #: Registers of a sketch: 2**14, a standard error of 0.81 %.
 HLL_BITS = 14
-HLL_ERROR = 0.0081
+
+
+def _sketched(x: Typed, column: Column) -> Column:
+    """A column as sketches take it."""
+    if x.nocase:
+        return text.casefold(column)
+    return column.cast("bigint") if x.kind == "int" else column if x.kind in ("text", "bytes") else column.cast("string")
 
 
 def fold(scope: Scope, a: Agg) -> tuple[Column, str, Column | None]:
@@ -53,9 +59,9 @@ def fold(scope: Scope, a: Agg) -> tuple[Column, str, Column | None]:
         pick = F.min_by if a.name == "first" else F.max_by
         return pick(column, F.when(some, at)), x.kind, None
     if a.name == "approx_count_distinct":
-        return F.approx_count_distinct(text.casefold(column) if x.nocase else column, HLL_ERROR), "int", None
+        return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(_sketched(x, column), F.lit(HLL_BITS))), F.lit(0).cast("bigint")), "int", None
     if a.name == "hll_accumulate":
-        return F.hll_sketch_agg(column, F.lit(HLL_BITS)), "bytes", None
+        return F.hll_sketch_agg(_sketched(x, column), F.lit(HLL_BITS)), "bytes", None
     if a.name == "hll_combine":
         return F.hll_union_agg(column), "bytes", None
     raise QueryError(f"no aggregate {a.name}()")

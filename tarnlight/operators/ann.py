@@ -1,15 +1,44 @@
-"""Vector search over cells around sampled centres and codes of eight bits, with exact rescoring of all that may be among the best."""
+"""Vector search over cells around sampled centres and codes of one and of eight bits a component, with exact rescoring of all that may be among the best.
+
+The first candidates are the nearest cells' best by their codes ("int8", or "bit": the signs, compared by Hamming
+distance). Every row whose eight-bit code leaves room for a score as good as the k-th of those is rescored exactly.
+"""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 
 CELLS = 16
 SAMPLE = 20_000
+#: Signs that one number holds.
+SIGNS = 62
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """Where a field's codes are stored, and how a search goes about them."""
+
+    path: str
+    centres: np.ndarray
+    probes: int = 4
+    candidates: int = 100
+    quant: str = "int8"
+
+
+def build(rows: DataFrame, field: str, folder: str, cells: int = CELLS, **options) -> VectorIndex:
+    """rows: id and the field. Rows are clustered by cell."""
+    found = centres(rows, field, cells)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    coded = indexed(rows.select("id", field).filter(F.col(field).isNotNull()), field, found)
+    coded.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.parquet(path)
+    return VectorIndex(path, found, **options)
 
 
 def centres(rows: DataFrame, field: str, cells: int = CELLS, seed: int = 7) -> np.ndarray:
@@ -32,10 +61,20 @@ def indexed(rows: DataFrame, field: str, found: np.ndarray) -> DataFrame:
     far = F.array(*(F.struct(vectors.l2(v, F.array(*(F.lit(float(y)) for y in c))).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(found)))
     top = F.array_max(F.transform(v, lambda x: F.abs(x)))
     code = F.transform(v, lambda x: F.when(top > 0, F.round(x / top * 127)).otherwise(0).cast("byte"))
-    return rows.withColumn("cell", F.array_min(far)["k"]).withColumn("code", code).withColumn("scale", (top / 127).cast("float"))
+    return rows.withColumns({"cell": F.array_min(far)["k"], "code": code, "scale": (top / 127).cast("float"), "signs": signs(v)})
+
+
+def signs(v: Column) -> Column:
+    """The signs of the components, SIGNS to a number."""
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / SIGNS).cast("int") - 1, F.lit(0))), lambda c: F.slice(v, c * SIGNS + 1, SIGNS))
+    return F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda t, x: F.shiftleft(t, 1) + (x > 0).cast("bigint")))
 
 
-def search(rows: DataFrame, field: str, found: np.ndarray, query: list[float], k: int, probes: int = 4, candidates: int = 100, metric: str = "cosine", complete: bool = True) -> DataFrame:
+def signs_of(v: np.ndarray) -> list[int]:
+    return [int("".join("1" if x > 0 else "0" for x in v[k : k + SIGNS]) or "0", 2) for k in range(0, len(v), SIGNS)]
+
+
+def search(rows: DataFrame, field: str, found: np.ndarray, query: list[float], k: int, probes: int = 4, candidates: int = 100, metric: str = "cosine", complete: bool = True, quant: str = "int8") -> DataFrame:
     """id, _score of the k best: the nearest cells, their best by code, rescored exactly; then every row, of any cell, whose code leaves room for a score as good as the k-th of those. complete=False stops before that and may miss some. rows: as indexed() gives them."""
     q = np.array(query, dtype=np.float64)
     cells = [int(c) for c in np.argsort(((found - q) ** 2).sum(1))[:probes]]
@@ -44,7 +83,13 @@ def search(rows: DataFrame, field: str, found: np.ndarray, query: list[float], k
     coded = F.transform("code", lambda x: x * F.col("scale"))
     exact = vectors.SCORES[metric](F.col(field), column).alias("_score")
     rows = rows.filter(F.col(field).isNotNull()).withColumn("_rough", vectors.SCORES[metric](coded, column))
-    some = rows.filter(F.col("cell").isin(cells)).orderBy(better("_rough"), "id").limit(max(candidates, k))
+    some = rows.filter(F.col("cell").isin(cells))
+    if quant == "bit":
+        own = F.array(*(F.lit(x).cast("bigint") for x in signs_of(q)))
+        apart = F.aggregate(F.zip_with("signs", own, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        some = some.orderBy(apart, "id").limit(max(candidates, k))
+    else:
+        some = some.orderBy(better("_rough"), "id").limit(max(candidates, k))
     some = some.select("id", exact).orderBy(better("_score"), "id").limit(k)
     if not complete:
         return some

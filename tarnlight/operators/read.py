@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -51,6 +53,43 @@ class Answer:
         return df
 
 
+def explained(reader: Reader, s: Any) -> Answer:
+    """How a statement would be answered, a step a row: what the scans read and are handed, how it joins, ranks and pages."""
+    steps: list[str] = []
+    if not isinstance(s, Select):
+        steps.append(f"write: {type(s).__name__.lower()} adds a layer of what it changes to {s.source}" if hasattr(s, "source") else f"schema: {getattr(s, 'op', '')}")
+    else:
+        c = reader.catalog.get(s.source)
+        plan = reader.select(s).df._jdf.queryExecution().executedPlan().toString()
+        for scan in re.findall(r"FileScan \S+ .*", plan):
+            read = re.search(r"ReadSchema: struct<(.*?)>(?:$|,|\s)", scan)
+            pushed = re.search(r"PushedFilters: \[(.*?)\](?:,|\s|$)", scan)
+            columns = re.match(r"FileScan \S+ \[([^\]]*)\]", scan)
+            n = len(re.findall(r"#\d+", columns[1])) if columns else 0
+            steps.append(f"scan: {n} columns, the files are handed {pushed[1] if pushed and pushed[1] else 'no filter'}" if read else f"scan: {n} columns")
+        if s.where is not None:
+            steps.append("filter: " + ("semi and anti joins, and what the scans are handed" if any(isinstance(x, InSelect | Exists) for e in conjuncts(s.where) for x in walk(e)) else "row by row, with what the scans are handed"))
+        for kind, n in Counter(re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin)[^\n]*?(LeftSemi|LeftAnti|LeftOuter|Inner|FullOuter|Cross)", plan)).items():
+            steps.append(f"join: {kind[1]} by {kind[0]}" + (f", {n} times" if n > 1 else ""))
+        if s.match:
+            by = "the text index" if s.match.field.text in c.text_index and not reader.within(reader.scope(s)) else "a read of every text"
+            steps.append(f"match: {by} on {s.match.field.text}")
+        if s.near:
+            codes = s.near.field.text in c.vector_index and not s.near.exact and s.where is None
+            steps.append(f"near: {'cells and codes' if codes else 'the exact distance of every row left'} on {s.near.field.text}")
+        if s.fuse:
+            steps.append(f"fuse: reciprocal ranks, {s.fuse.candidates} candidates a side")
+        if s.lookup:
+            steps.append(f"lookup: {s.lookup.select.source}" + (", of the parents answered alone" if s.where is not None or s.limit is not None else ""))
+        if aggregated(s):
+            steps.append("groups: partial sums before the shuffle" if s.group is not None else "groups: one, of partial sums")
+        if s.limit is not None:
+            steps.append("page: " + ("the best rows of each partition, merged" if "TakeOrderedAndProject" in plan else "the first rows"))
+        steps.append(f"rows: {reader.select(s).df.count()}")
+    spark = reader.catalog.spark
+    return Answer(spark.createDataFrame(list(enumerate(steps, 1)), "step int, what string"))
+
+
 @dataclass(frozen=True)
 class Policy:
     """What a caller may read: a filter for each collection, and fields that are hidden."""
@@ -148,10 +187,18 @@ class Reader:
                 raise QueryError("distinct doesn't go with highlights")
             s = replace(s, distinct=False, group=[i.expr for i in s.items or []])
         base = self.rows(scope)
-        rows = self.filtered(scope, base, s.where, inner)
-        if s.lookup and s.lookup.required and not aggregated(s):
-            rows = self.required(scope, rows, s.lookup)
-        found = {f.path.text: facets.facet(scope, self.filtered(scope, base, facets.without(s.where, f.path), inner) if f.disjunctive else rows, f) for f in s.facets}
+
+        def left(where: Any) -> DataFrame:
+            rows = self.filtered(scope, base, where, inner)
+            return self.required(scope, rows, s.lookup) if s.lookup and s.lookup.required and not aggregated(s) else rows
+
+        def counted(rows: DataFrame) -> DataFrame:
+            """What facets count: of a match the rows that it finds, whatever the page."""
+            return rows.join(self.matched(scope, base, rows, s).rows.select("id"), "id", "left_semi") if s.match else rows
+
+        rows = left(s.where)
+        matched = counted(rows) if s.facets else rows
+        found = {f.path.text: facets.facet(scope, counted(left(facets.without(s.where, f.path))) if f.disjunctive else matched, f) for f in s.facets}
         if aggregated(s):
             answer = self.groups(scope, rows, s)
         elif s.match or s.near:
@@ -225,7 +272,7 @@ class Reader:
         if s.order or s.limit is not None or s.offset is not None:
             rows = self.page(rows.orderBy(*self.order(scope, s.order, s.items)), s, scope)
         if s.lookup:
-            return self.with_children(scope, rows, self.listed(scope, s.items), s.lookup)
+            return self.with_children(scope, rows, self.listed(scope, s.items), s)
         return Answer(rows.select(*self.listed(scope, s.items)))
 
     def groups(self, scope: Scope, rows: DataFrame, s: Select) -> Answer:
@@ -255,8 +302,10 @@ class Reader:
         page = scope.whole(s.limit, "limit") + (scope.whole(s.offset, "offset") if s.offset is not None else 0)
         if page > MOST_ROWS:
             raise QueryError(f"a ranked read answers {MOST_ROWS} rows at most")
-        matched = self.matched(scope, base, rows, s) if s.match else None
-        near = search.near(scope, rows, s.near) if s.near else None
+        most = max(page, s.fuse.candidates if s.fuse else s.rerank.candidates if s.rerank else 0)
+        matched = self.matched(scope, base, rows, s, most) if s.match else None
+        whole = s.where is None and scope.collection.ttl is None and scope.collection.name not in self.policy.filters
+        near = search.near(scope, rows, s.near, whole, most) if s.near else None
         found = matched or near
         if s.fuse:
             found = search.fused(matched, near, s.fuse, page)
@@ -268,9 +317,10 @@ class Reader:
         order = F.desc("_score") if found.best_first else F.asc("_score")
         return Answer(out.orderBy(order, "id").select(*columns, F.col("_score")))
 
-    def matched(self, scope: Scope, base: DataFrame, rows: DataFrame, s: Select) -> search.Ranked:
-        allowed = rows.select("id") if s.where is not None or scope.collection.name in self.policy.filters else None
-        return search.bm25(scope, base, allowed, s.match, self.within(scope))
+    def matched(self, scope: Scope, base: DataFrame, rows: DataFrame, s: Select, most: int | None = None) -> search.Ranked:
+        """most: only so many of the best are asked for."""
+        narrow = s.where is not None or scope.collection.name in self.policy.filters or scope.collection.ttl is not None
+        return search.bm25(scope, base, rows.select("id") if narrow else None, s.match, self.within(scope), most)
 
     def matches(self, s: Select) -> DataFrame:
         """id, _score of every row that a match finds, in no order and without a page."""
@@ -313,68 +363,94 @@ class Reader:
         out, _, typed, names = aggregate.grouped(child, kids, grouped)
         return out.select(*(typed[n].as_kind("text").alias(n) for n in names))
 
-    def children(self, look: Lookup) -> tuple[DataFrame, list[str], list[str]]:
-        """_c0.., and a column named as the collection with each parent's children in order; names of levels below; columns of a child."""
+    def restricted(self, kids: DataFrame, child: Scope, look: Lookup, parents: DataFrame | None) -> DataFrame:
+        """kids of the parents alone. parents: their keys, as _p0.., or None where all parents are asked."""
+        if parents is None:
+            return kids
+        on = None
+        for k, c in enumerate(look.child):
+            one = child.col(Path((c,))) == F.col(f"_p{k}")
+            on = one if on is None else on & one
+        return kids.join(parents, on, "left_semi")
+
+    @staticmethod
+    def keys(rows: DataFrame, columns: list[Column]) -> DataFrame:
+        return rows.select(*(c.alias(f"_p{k}") for k, c in enumerate(columns)))
+
+    def children(self, look: Lookup, parents: DataFrame | None = None) -> tuple[DataFrame, list[str], list[str]]:
+        """_c0.., and a column named as the collection with each parent's children in order; names of levels below; columns of a child.
+
+        parents: keys that the children are of; others are left out before they are ordered.
+        """
         s = look.select
         child = self.scope(s)
-        kids = self.filtered(child, self.rows(child), s.where)
+        kids = self.restricted(self.filtered(child, self.rows(child), s.where), child, look, parents)
         n = len(look.child)
         cs = [f"_c{k}" for k in range(n)]
         levels: list[str] = []
+        skip = child.whole(s.offset, "offset") if s.offset is not None else 0
+
+        def paged(df: DataFrame) -> DataFrame:
+            if skip:
+                df = df.filter(F.col("_n") > skip)
+            return df.filter(F.col("_n") <= skip + child.whole(s.limit, "limit")) if s.limit is not None else df
+
         if aggregated(s):
             kids = self.folded(child, kids, look)
             columns = [c for c in kids.columns if c not in cs]
             order = [F.col(o.expr.text).desc() if o.desc else F.col(o.expr.text).asc() for o in s.order if isinstance(o.expr, Path)]
             order += [F.col(f"`{name_of(Item(g))}`") for g in s.group or [] if isinstance(g, Path) and g.text in columns]
             order = order or [F.col(f"`{c}`") for c in columns]
+            kids = paged(kids.withColumn("_n", F.row_number().over(Window.partitionBy(*cs).orderBy(*order))))
         else:
-            if s.lookup:
-                if s.lookup.required:
-                    kids = self.required(child, kids, s.lookup)
-            order = self.order(child, s.order, s.items)
+            if s.lookup and s.lookup.required:
+                kids = self.required(child, kids, s.lookup)
+            ranked = F.row_number().over(Window.partitionBy(*(child.col(Path((c,))) for c in look.child)).orderBy(*self.order(child, s.order, s.items)))
+            kids = paged(kids.withColumn("_n", ranked))
             ties = [child.col(Path((c,))).alias(f"_c{k}") for k, c in enumerate(look.child)]
             listed = self.listed(child, s.items)
             if s.lookup:
-                below, deeper, _ = self.children(s.lookup)
-                lowered = [c.replace("_c", "_d") for c in below.columns if c.startswith("_c")]
+                own = [child.col(Path((p,))) for p in s.lookup.parent]
+                narrow = parents is not None or s.where is not None or s.limit is not None or skip or s.lookup.required
+                below, deeper, _ = self.children(s.lookup, self.keys(kids, own) if narrow else None)
                 below = below.toDF(*[c.replace("_c", "_d") if c.startswith("_c") else c for c in below.columns])
                 on = None
-                for k, p in enumerate(s.lookup.parent):
-                    one = child.col(Path((p,))) == F.col(lowered[k])
+                for k, p in enumerate(own):
+                    one = p == F.col(f"_d{k}")
                     on = one if on is None else on & one
                 kids = kids.join(below, on, "left")
                 name = s.lookup.select.source
                 listed = [*listed, F.coalesce(F.col(name), F.array()).alias(name)]
                 levels = [name, *deeper]
-            ranked = F.row_number().over(Window.partitionBy(*(child.col(Path((c,))) for c in look.child)).orderBy(*order))
-            kids = kids.withColumn("_n", ranked)
             kids = kids.select("_n", *ties, *listed)
             columns = [c for c in kids.columns if c not in (*cs, "_n")]
-            order = None
-        if order is not None:
-            kids = kids.withColumn("_n", F.row_number().over(Window.partitionBy(*cs).orderBy(*order)))
-        skip = child.whole(s.offset, "offset") if s.offset is not None else 0
-        if s.limit is not None or skip:
-            kids = kids.filter(F.col("_n") > skip)
-            if s.limit is not None:
-                kids = kids.filter(F.col("_n") <= skip + child.whole(s.limit, "limit"))
         one = F.struct("_n", *(F.col(f"`{c}`") for c in columns))
         # a parent's page of children, or all of them, is one value of the answer
         listed_kids = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
         return kids.groupBy(*cs).agg(listed_kids.alias(s.source)), levels, columns
 
-    def with_children(self, scope: Scope, rows: DataFrame, columns: list[Column], look: Lookup) -> Answer:
-        kids, levels, _ = self.children(look)
-        name = look.select.source
+    def parents(self, scope: Scope, rows: DataFrame, s: Select) -> DataFrame | None:
+        """The keys of a select's own rows, where these are not the whole collection; a page's are few enough to broadcast."""
+        if s.where is None and s.limit is None and s.offset is None and not s.lookup.required and scope.collection.ttl is None and scope.collection.name not in self.policy.filters:
+            return None
+        keys = self.keys(rows, [scope.col(Path((p,))) for p in s.lookup.parent])
+        return F.broadcast(keys) if s.limit is not None and scope.whole(s.limit, "limit") <= MOST_ROWS else keys
+
+    def with_children(self, scope: Scope, rows: DataFrame, columns: list[Column], s: Select) -> Answer:
+        look = s.lookup
         if aggregated(look.select) and look.select.group is None:
-            return self.with_folded(scope, rows, columns, look)
+            return self.with_folded(scope, rows, columns, s)
+        kids, levels, _ = self.children(look, self.parents(scope, rows, s))
+        name = look.select.source
         out = rows.join(kids, self.tie(scope, look), "left")
         return Answer(out.select(*columns, F.coalesce(F.col(name), F.array()).alias(name)), nested=[name, *levels])
 
-    def with_folded(self, scope: Scope, rows: DataFrame, columns: list[Column], look: Lookup) -> Answer:
+    def with_folded(self, scope: Scope, rows: DataFrame, columns: list[Column], s: Select) -> Answer:
         """One row of folds for each parent, childless ones too: a count is 0 there, other folds are null."""
+        look = s.lookup
         child = self.scope(look.select)
-        kids = self.folded(child, self.filtered(child, self.rows(child), look.select.where), look)
+        kids = self.restricted(self.filtered(child, self.rows(child), look.select.where), child, look, self.parents(scope, rows, s))
+        kids = self.folded(child, kids, look)
         names = [c for c in kids.columns if not c.startswith("_c")]
         out = rows.join(kids, self.tie(scope, look), "left")
         counts = {name_of(i) for i in look.select.items or [] if getattr(i.expr, "name", "") in ("count", "approx_count_distinct")}
@@ -383,7 +459,7 @@ class Reader:
 
     def off_groups(self, scope: Scope, groups: DataFrame, look: Lookup) -> Answer:
         """A lookup whose parents are groups: its keys are columns of the list."""
-        kids, levels, _ = self.children(look)
+        kids, levels, _ = self.children(look, self.keys(groups, [F.col(f"`{p}`") for p in look.parent]))
         on = None
         for k, p in enumerate(look.parent):
             one = F.col(f"`{p}`") == F.col(f"_c{k}")
@@ -393,6 +469,29 @@ class Reader:
         return Answer(out.select(*(F.col(f"`{c}`") for c in groups.columns), F.coalesce(F.col(name), F.array()).alias(name)), nested=[name, *levels])
 
     # SQL joins
+    @staticmethod
+    def semi(s: Select, tables: dict[str, Scope], owner: Any, where: list) -> tuple[str, str, Binary, list] | None:
+        """Where one table of an inner join is answered and the other is only a filter, each row counting once: (the
+        answered table, the other, their tie, the filters of the other). A row counts once where the tie is the other's id,
+        which no two rows share, or where the answer is distinct."""
+        if len(s.joins) != 1 or s.joins[0].kind != "inner" or s.items is None:
+            return None
+        own = lambda e: {owner(x)[0] for x in walk(e) if isinstance(x, Path)}
+        ties = conjuncts(s.joins[0].on) or [e for e in where if isinstance(e, Binary) and e.op == "=" and len(own(e)) == 2]
+        aliases = {i.alias for i in s.items if i.alias}
+        read = set().union(*(own(e) for e in (*(i.expr for i in s.items), *(s.group or []), *(o.expr for o in s.order if not (isinstance(o.expr, Path) and o.expr.text in aliases)), *([s.having] if s.having is not None else []))))
+        if len(ties) != 1 or not (isinstance(ties[0], Binary) and ties[0].op == "=" and isinstance(ties[0].a, Path) and isinstance(ties[0].b, Path)) or len(read) != 1:
+            return None
+        kept = read.pop()
+        other = next(t for t in tables if t != kept)
+        key = next((owner(x)[1] for x in (ties[0].a, ties[0].b) if owner(x)[0] == other), None)
+        if key is None or not (key in ("id", tables[other].collection.id) or s.distinct and not aggregated(s)):
+            return None
+        rest = [e for e in where if e != ties[0]]
+        if any(len(own(e)) > 1 for e in rest):
+            return None
+        return kept, other, ties[0], [e for e in rest if own(e) == {other}]
+
     def joined(self, s: Select, inner: int) -> Answer:
         """Joins on keys, answered flat. Names that no table qualifies are the first table's."""
         tables: dict[str, Scope] = {s.alias or s.source: self.scope(s)}
@@ -451,6 +550,13 @@ class Reader:
                 test = one if test is None else test & one
             out = frames[first].join(frames[s.joins[0].alias], test, "left_anti")
             where = [e for e in where if e not in nulls]
+        elif (semi := self.semi(s, tables, owner, conjuncts(s.where))) is not None:
+            kept, other, tie, filters = semi
+            found = frames[other]
+            for e in filters:
+                found = found.filter(wide.test(self.scalars(e, inner), bare=True))
+            out = frames[kept].join(found, wide.field(tie.a).col == wide.field(tie.b).col, "left_semi")
+            where = [e for e in conjuncts(s.where) if e not in filters and e != tie]
         for e in where:
             out = out.filter(wide.test(self.scalars(e, inner), bare=True))
         ids = [F.col(f"`{a}.id`") for a in tables if f"{a}.id" in out.columns]

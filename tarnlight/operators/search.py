@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError, TypeMismatch
@@ -12,6 +13,7 @@ from ..functions import geo, vectors
 from ..functions.text import allowed, counts_of, edits, terms, terms_of
 from ..plans.ast import Fuse, Match, Near, Rerank
 from ..plans.expr import Scope, sparse_value
+from . import ann, text_index
 
 #: Fixed values of the ranking: saturation, length norm, weights of variants by distance, the share of a word's own floor.
 K1, B = 0.9, 0.4
@@ -27,8 +29,11 @@ class Ranked:
     terms: set[str]
 
 
-def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m: Match, within: bool = False) -> Ranked:
-    """id, _score of the rows that hold a term. collection: all rows, over which statistics are made; allowed_rows: ids that may answer."""
+def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m: Match, within: bool = False, k: int | None = None) -> Ranked:
+    """id, _score of the rows that hold a term. collection: all rows, over which statistics are made; allowed_rows: ids that may answer.
+
+    k: only the k best are asked for. An index of the field answers, unless the statistics are of allowed rows only.
+    """
     query = scope.value(m.text)
     if not isinstance(query, str):
         raise TypeMismatch("match takes a text")
@@ -40,12 +45,8 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
         raise QueryError("the text holds no term")
     if within and allowed_rows is not None:
         collection = collection.join(allowed_rows, "id", "left_semi")
-    column = terms_of(scope.field(m.field).as_kind("text"), single)
-    if longest := options.get("prefix"):
-        least = options.get("prefix_min", 3)
-        starts = lambda t: F.transform(F.sequence(F.lit(least), F.least(F.lit(longest), F.length(t) - 1)), lambda n: F.concat(F.lit("^"), F.substring(t, F.lit(1), n)))
-        column = F.concat(column, F.flatten(F.transform(column, lambda t: F.when(F.length(t) > least, starts(t)).otherwise(F.array().cast("array<string>")))))
-    parsed = collection.select("id", column.alias("_terms"))
+    index = None if within else scope.collection.text_index.get(m.field.text)
+    column = None if index else text_index.with_beginnings(terms_of(scope.field(m.field).as_kind("text"), single), options)
     wanted: dict[str, list[tuple[str, int]]] = {}  # a query word -> its variants and their distances
     counts: dict[str, int] = {}
     for w in words:
@@ -57,59 +58,56 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
         # the index holds beginnings as terms: no dictionary is walked
         wanted[last].append((f"^{last}", 1))
         last = None
+    spark = collection.sparkSession
     if m.fuzzy or last:
-        found = _variants(parsed, counts, last, m.fuzzy or 0)
-        for w, more in found.items():
+        dictionary = index.terms(spark).select(F.col("term").alias("t")) if index else collection.select(F.explode(column).alias("t")).distinct()
+        for w, more in _variants(dictionary, counts, last, m.fuzzy or 0).items():
             wanted[w] += more
-    groups = [(w, d, sorted(t for t, e in wanted[w] if e == d)) for w in counts for d in sorted({e for _, e in wanted[w]})]
+    # a word's variants of one distance count as one
+    groups = [(w, d, text_index.Group(sorted(t for t, e in wanted[w] if e == d))) for w in counts for d in sorted({e for _, e in wanted[w]})]
+    found = {t for _, _, g in groups for t in g.terms}
+
+    def weigh(n: int) -> None:
+        idf = lambda g: math.log(1 + (n - g.rows + 0.5) / (g.rows + 0.5))
+        for w, d, g in groups:
+            g.weight = counts[w] * idf(g) * VARIANT_WEIGHTS[d]
+            own = next(x for v, e, x in groups if v == w and e == 0)
+            if d and own.rows:  # a variant stays below what the word itself gives at its least
+                g.weight = min(g.weight, counts[w] * idf(own) * VARIANT_WEIGHTS[d] * BELOW)
+
+    if index:
+        only = [g for _, _, g in groups]
+        return Ranked(text_index.scored(spark, index, only, lambda _: weigh(index.n), k1, b, allowed_rows, k), True, found)
     # one pass: lengths and frequencies of the query's own few terms; statistics follow from the same rows
     if options.get("prefix"):
-        counted = parsed.select("id", F.array(F.size("_terms"), *(F.size(F.filter(F.col("_terms"), _among(g[2]))) for g in groups)).alias("_counts"))
+        parsed = collection.select("id", column.alias("_terms"))
+        counted = parsed.select("id", F.array(F.size("_terms"), *(F.size(F.filter(F.col("_terms"), _among(g.terms))) for _, _, g in groups)).alias("_counts"))
     else:
-        counted = collection.select("id", counts_of(scope.field(m.field).as_kind("text"), [g[2] for g in groups], single).alias("_counts"))
-    rows = counted.select("id", F.get("_counts", F.lit(0)).alias("_length"), *(F.get("_counts", F.lit(k + 1)).alias(f"_f{k}") for k in range(len(groups))))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"), *(F.count(F.when(F.col(f"_f{k}") > 0, 1)).alias(f"d{k}") for k in range(len(groups)))).head()
-    n, average = stats["n"], max(1.0, stats["avg"] or 1.0)
-
-    def scored(k: int) -> tuple[Column, float]:
-        df = stats[f"d{k}"]
-        idf = float(_ln(1 + (n - df + 0.5) / (df + 0.5)))
-        tf = F.col(f"_f{k}").cast("double")
+        counted = collection.select("id", counts_of(scope.field(m.field).as_kind("text"), [g.terms for _, _, g in groups], single).alias("_counts"))
+    rows = counted.select("id", F.get("_counts", F.lit(0)).alias("_length"), *(F.get("_counts", F.lit(j + 1)).alias(f"_f{j}") for j in range(len(groups))))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"), *(F.count(F.when(F.col(f"_f{j}") > 0, 1)).alias(f"d{j}") for j in range(len(groups)))).head()
+    average = max(1.0, stats["avg"] or 1.0)
+    for j, (_, _, g) in enumerate(groups):
+        g.rows = stats[f"d{j}"]
+    weigh(stats["n"])
+    total, held = F.lit(0.0), F.lit(False)
+    for j, (_, _, g) in enumerate(groups):
+        tf = F.col(f"_f{j}").cast("double")
         gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_length") / average))
-        return gain, idf
-
-    total = F.lit(0.0)
-    held = F.lit(False)
-    for k, (w, d, _) in enumerate(groups):
-        gain, idf = scored(k)
-        weight = counts[w] * idf * VARIANT_WEIGHTS[d]
-        if d:
-            # a variant stays below what the word itself gives at its least
-            own = next(j for j, g in enumerate(groups) if g[0] == w and g[1] == 0)
-            if stats[f"d{own}"]:
-                own_idf = float(_ln(1 + (n - stats[f"d{own}"] + 0.5) / (stats[f"d{own}"] + 0.5)))
-                weight = min(weight, counts[w] * own_idf * VARIANT_WEIGHTS[d] * BELOW)
-        total = total + F.when(F.col(f"_f{k}") > 0, F.lit(weight) * gain).otherwise(0.0)
-        held = held | (F.col(f"_f{k}") > 0)
+        total = total + F.when(F.col(f"_f{j}") > 0, F.lit(g.weight) * gain).otherwise(0.0)
+        held = held | (F.col(f"_f{j}") > 0)
     out = rows.filter(held).select("id", total.alias("_score"))
     if allowed_rows is not None and not within:
         out = out.join(allowed_rows, "id", "left_semi")
-    return Ranked(out, True, {t for _, _, g in groups for t in g})
+    return Ranked(out, True, found)
 
 
 def _among(wanted: list[str]):
     return lambda t: t.isin(wanted)
 
 
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
-def _variants(parsed: DataFrame, words: dict[str, int], prefix: str | None, fuzzy: int) -> dict[str, list[tuple[str, int]]]:
-    """Terms of the collection near the query's words. Lengths bound what reaches the driver; more than MOST_VARIANTS is refused."""
-    dictionary = parsed.select(F.explode("_terms").alias("t")).distinct()
+def _variants(dictionary: DataFrame, words: dict[str, int], prefix: str | None, fuzzy: int) -> dict[str, list[tuple[str, int]]]:
+    """Terms of the dictionary (t) near the query's words. Lengths bound what reaches the driver; more than MOST_VARIANTS is refused."""
     test = F.lit(False)
     for w in words:
         most = allowed(w, fuzzy)
@@ -138,8 +136,11 @@ def _variants(parsed: DataFrame, words: dict[str, int], prefix: str | None, fuzz
     return out
 
 
-def near(scope: Scope, rows: DataFrame, n: Near) -> Ranked:
-    """id, _score over the rows given: exact by construction, whatever filter made them."""
+def near(scope: Scope, rows: DataFrame, n: Near, whole: bool = False, k: int | None = None) -> Ranked:
+    """id, _score over the rows given: exact by construction, whatever filter made them.
+
+    whole: they are the whole collection; the k best of these come from an index, if there is one and `exact` is not said.
+    """
     t = scope.field(n.field)
     v = scope.value(n.vector)
     if t.kind == "sparse":
@@ -157,6 +158,10 @@ def near(scope: Scope, rows: DataFrame, n: Near) -> Ranked:
     if t.kind not in ("vector", "list"):
         raise TypeMismatch(f"{n.field.text} is no vector")
     metric = scope.collection.metric.get(n.field.text, "cosine")
+    index = scope.collection.vector_index.get(n.field.text)
+    if index is not None and not n.exact and whole and k is not None:
+        found = ann.search(rows.sparkSession.read.parquet(index.path), n.field.text, index.centres, [float(x) for x in v], k, index.probes, max(n.ef or index.candidates, k), metric, quant=index.quant)
+        return Ranked(found, metric != "l2", set())
     query = F.array(*(F.lit(float(x)) for x in v))
     score = vectors.SCORES[metric](t.col, query)
     return Ranked(rows.filter(t.col.isNotNull()).select("id", score.alias("_score")), metric != "l2", set())

@@ -1,15 +1,14 @@
-"""Writes over versioned tables.
+"""Writes over layered tables.
 
-A collection's rows live in version folders of Parquet; a manifest names the version of each collection. A block of
-writes stages new versions and swaps one manifest, so that it lands whole or not at all. Each write also gives change
-rows (seq, op, id, doc), kept beside the versions for streams and restores.
+Each write adds a layer of what it put and of the ids that it replaced or deleted (storage.py). A block of writes ends
+in one manifest, so that it lands whole or not at all, and outlives the session. Each write also gives change rows (seq,
+op, id, doc), kept beside the layers for streams and restores.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-import uuid
 from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
@@ -25,20 +24,29 @@ from ..plans.check import MOST_VALUES
 from ..plans.expr import Scope, moment, sparse_value
 from ..plans.parser import parse
 from ..sources.catalog import Catalog, Collection, spark_type
-from .read import Answer, Policy, Reader
+from . import text_index
+from .read import Answer, Policy, Reader, explained
+from .storage import MOST_LAYERS, Layers, Store
 
 CHANGES = "seq bigint, at timestamp, collection string, op string, id bigint, doc string"
 
 
 class Database:
-    """Statements over collections that are kept under one folder."""
+    """Statements over collections that are kept under one folder. A folder that holds a database already gives its rows."""
 
     def __init__(self, catalog: Catalog, folder: str):
         self.catalog, self.folder = catalog, folder.rstrip("/")
-        self.versions: dict[str, str] = {}
-        self.keys: dict[str, Any] = {}  # idempotency key -> its answer
-        self.staged: dict[str, Collection] | None = None
-        self.pending: list[DataFrame] = []
+        self.store = Store(catalog.spark, self.folder)
+        self.layers: dict[str, Layers] = dict(self.store.now.collections)
+        self.origins: dict[str, DataFrame] = {}  # of each collection, the rows under its layers where no path holds them
+        self.marks: dict[str, int] = dict(self.store.now.marks)  # see Manifest
+        self.staged: tuple | None = None
+        self.pending: list[tuple[DataFrame, int]] = []  # change rows and their number
+        for name, layers in self.layers.items():
+            if name in catalog.collections:
+                c = catalog.get(name)
+                self.origins[name] = c.df
+                catalog.collections[name] = c.with_rows(self.store.merged(layers, c.df, c.id))
 
     @property
     def spark(self):
@@ -46,15 +54,17 @@ class Database:
 
     # statements
     def run(self, text: str, *params: Any, now: dt.datetime | None = None, policy: Policy | None = None, key: str | None = None) -> Any:
-        """The answer of the last statement; all of the text's writes land together. A key that was used answers as it did."""
-        if key is not None and key in self.keys:
-            return self.keys[key]
+        """The answer of the last statement; all of the text's writes land together. A key that was used answers as it did, in later sessions too."""
+        if key is not None and key in self.store.now.keys:
+            return Answer(self.spark.read.parquet(self.store.now.keys[key]))
         out = None
-        with self.block():
+        with self.block(key) as kept:
             for s in parse(text):
                 out = self.statement(s, params, now, policy)
-        if key is not None:
-            self.keys[key] = out
+            if key is not None and isinstance(out, Answer):
+                kept.append(self.store.folder.fresh("answers"))
+                out.df.write.parquet(kept[0])
+                out = Answer(self.spark.read.parquet(kept[0]))
         return out
 
     def statement(self, s: Any, params: tuple = (), now: dt.datetime | None = None, policy: Policy | None = None) -> Any:
@@ -62,7 +72,7 @@ class Database:
         if isinstance(s, Select):
             return reader.select(s)
         if isinstance(s, Explain):
-            return reader.select(s.statement).df._jdf.queryExecution().toString() if isinstance(s.statement, Select) else str(s.statement)
+            return explained(reader, s.statement)
         if isinstance(s, Put):
             return self.put(reader, s)
         if isinstance(s, Change):
@@ -72,67 +82,85 @@ class Database:
         raise QueryError("no such statement")
 
     @contextmanager
-    def block(self):
+    def block(self, key: str | None = None):
         """All writes inside land together; an error puts the collections back as they were."""
         if self.staged is not None:
-            yield
+            yield []
             return
-        self.staged = dict(self.catalog.collections)
+        self.staged = dict(self.catalog.collections), dict(self.layers), dict(self.origins), dict(self.marks)
         self.pending = []
+        kept: list[str] = []
         try:
-            yield
-            self.commit()
+            yield kept
+            self.commit(key, kept)
         except Exception:
-            self.catalog.collections = self.staged
+            self.catalog.collections, self.layers, self.origins, self.marks = self.staged
             raise
         finally:
             self.staged, self.pending = None, []
 
-    def commit(self) -> None:
+    def commit(self, key: str | None = None, kept: list[str] | None = None) -> None:
+        now = self.store.now
+        if not self.pending and self.layers == now.collections and self.marks == now.marks and not kept:
+            return
+        new = replace(now, collections=dict(self.layers), marks=dict(self.marks), keys=now.keys | ({key: kept[0]} if kept else {}))
         if self.pending:
-            log = self.pending[0]
-            for more in self.pending[1:]:
+            log = self.pending[0][0]
+            for more, _ in self.pending[1:]:
                 log = log.unionByName(more)
-            log.write.mode("append").parquet(f"{self.folder}/changes")
+            last = now.seq + sum(n for _, n in self.pending)
+            new = replace(new, seq=last, commits=(*now.commits, self.store.logged(log, now.n + 1, last)))
+        self.store.swap(new)
 
     # storage
     def stored(self, c: Collection, df: DataFrame) -> Collection:
-        """df as a new version of the collection."""
-        path = f"{self.folder}/{c.name}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.versions[c.name] = path
-        out = c.with_rows(self.spark.read.schema(df.schema).parquet(path))
+        """df, all rows of the collection, as its new base."""
+        self.layers[c.name] = self.store.based(df, c.name)
+        self.origins.pop(c.name, None)
+        return self.merged(c)
+
+    def merged(self, c: Collection) -> Collection:
+        layers = self.layers[c.name]
+        out = c.with_rows(self.store.merged(layers, self.origins.get(c.name, c.df), c.id))
         self.catalog.collections[c.name] = out
         return out
 
-    def last_seq(self) -> int:
-        try:
-            return self.changes().agg(F.max("seq")).head()[0] or 0
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+    def layered(self, c: Collection, gone: DataFrame, new: DataFrame) -> Collection:
+        """The collection after a write: gone has the ids (`id`) that it replaced or deleted, new the rows that it wrote."""
+        known = self.layers.get(c.name)
+        if known is None:
+            known, self.origins[c.name] = Layers(), c.df
+        self.layers[c.name] = known = self.store.layered(known, gone, new, c.name)
+        out = self.merged(c)
+        if len(known.parts) > MOST_LAYERS:
+            out = self.stored(out, out.df)
+        if c.text_index:
+            at, rows = known.parts[-1]
+            gone, new = self.spark.read.parquet(at), _with_id(self.spark.read.schema(c.df.schema).parquet(rows), c)
+            out = replace(out, text_index={f: text_index.updated(i, gone, new.select("id", f), f) for f, i in c.text_index.items()})
+            self.catalog.collections[c.name] = out
+        return out
 
-    def changes(self) -> DataFrame:
-        return self.spark.read.schema(CHANGES).parquet(f"{self.folder}/changes")
+    def changes(self, since: int = 0) -> DataFrame:
+        return self.store.changes(CHANGES, since)
 
     def record(self, c: Collection, rows: DataFrame, op: str, now: dt.datetime) -> None:
         """rows: id and the fields as they are now; a write is one change for each row."""
-        base = self.last_seq() + sum(p.count() for p in self.pending)
-        rows, seq = self.numbered(rows, base)
+        base = self.store.now.seq + sum(n for _, n in self.pending)
+        rows, seq, n = self.numbered(rows, base)
         doc = F.to_json(F.struct(*(F.col(f"`{x}`") for x in rows.columns if x not in ("_at", "_part", "_before")))) if op == "put" else F.lit(None).cast("string")
-        self.pending.append(rows.select(seq.cast("bigint").alias("seq"), F.lit(now).cast("timestamp").alias("at"), F.lit(c.name).alias("collection"), F.lit(op).alias("op"), F.col("id").cast("bigint").alias("id"), doc.alias("doc")))
+        self.pending.append((rows.select(seq.cast("bigint").alias("seq"), F.lit(now).cast("timestamp").alias("at"), F.lit(c.name).alias("collection"), F.lit(op).alias("op"), F.col("id").cast("bigint").alias("id"), doc.alias("doc")), n))
 
-    def numbered(self, rows: DataFrame, base: int) -> tuple[DataFrame, Column]:
-        """rows in ranges of id, and their numbers from base + 1: places within a range, after the rows of the ranges before."""
-        path = f"{self.folder}/staged/{uuid.uuid4().hex}"
+    def numbered(self, rows: DataFrame, base: int) -> tuple[DataFrame, Column, int]:
+        """rows in ranges of id, their numbers from base + 1 (places within a range, after the rows of the ranges before), and how many there are."""
+        path = self.store.folder.fresh("staged")
         rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
         out = self.spark.read.parquet(path)
         part = F.shiftright("_at", 33)
         counts = out.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
         before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
         numbered = out.join(F.broadcast(before), part == F.col("_part"))
-        return numbered, F.lit(base + 1) + F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        return numbered, F.lit(base + 1) + F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)), out.count()
 
     # documents
     def coerced(self, c: Collection, field: str, v: Any) -> Any:
@@ -242,8 +270,7 @@ class Database:
             if when == "before":
                 new = hook(c, "put", new) or new
         if written:
-            rest = c.df.join(F.broadcast(new.select(F.col(c.id).alias("_new"))), F.col(c.id) == F.col("_new"), "left_anti")  # a statement's documents
-            c = self.stored(c, rest.unionByName(new))
+            c = self.layered(c, _with_id(new, c).select("id"), new)
             self.record(c, _with_id(new, c), "put", reader.now)
         for when, hook in self.catalog.hooks:
             if when == "after":
@@ -278,19 +305,21 @@ class Database:
                 raise QueryError(f"a write that picks its rows picks {MOST_VALUES} at most")
             if s.require:
                 self.require(scope, len(picked), s.require)
-            hit = _with_id(c.df, c).join(F.broadcast(self.spark.createDataFrame([(x,) for x in picked], f"_hit {c.df.schema[c.id].dataType.simpleString()}")), F.col("id") == F.col("_hit"), "left")
-        else:
-            hit = _with_id(c.df, c).join(rows.select(F.col("id").alias("_hit")), F.col("id") == F.col("_hit"), "left")
-        test = F.col("_hit").isNotNull()
+            ids = self.spark.createDataFrame([(x,) for x in picked], f"_hit {c.df.schema[c.id].dataType.simpleString()}")
+            rows = rows.join(F.broadcast(ids), F.col("id") == F.col("_hit"), "left_semi")
+        fields = c.df.columns
         if s.values is None:
-            self.record(c, hit.filter(test).select(*dict.fromkeys(["id", *c.df.columns])), "del", reader.now)
-            before = hit.filter(test).select("id", *(x for x in c.df.columns if x != "id")) if s.returning else None
-            kept = hit.filter(~test).select(*c.df.columns)
-            answer = Answer(before.select(*reader.listed(scope, _star(s.returning)))) if s.returning else Answer(hit.filter(test).agg(F.count(F.lit(1)).alias("count")))
-            if s.returning:
-                answer = Answer(self.spark.createDataFrame(answer.df.collect(), answer.df.schema))  # the picked rows
-            self.stored(c, kept)
-            return answer
+            # the rows as they were, written once: they are the ids of the layer, the change rows and the answer
+            path = self.store.folder.fresh("staged")
+            rows.select(*dict.fromkeys(["id", *fields])).write.parquet(path)
+            old = self.spark.read.parquet(path)
+            self.layered(c, old.select("id"), c.df.filter("false"))
+            self.record(c, old, "del", reader.now)
+            if not s.returning:
+                return Answer(old.agg(F.count(F.lit(1)).alias("count")))
+            places = self.spark.createDataFrame([(x, k) for k, x in enumerate(picked)], "_of bigint, _place int")
+            old = old.join(F.broadcast(places), F.col("id") == F.col("_of")).orderBy("_place")
+            return Answer(old.select(*reader.listed(scope, _star(s.returning))))
         values: dict[str, Column] = {}
         for f, e in s.values.items():
             name = f.split(".")[0]
@@ -303,14 +332,12 @@ class Database:
                 values[name] = F.lit(self.coerced(c, name, scope.value(e))).cast(kind)
             else:
                 values[name] = scope.col(e).cast(kind)
-        changed = hit.select(*(F.when(test, values[x]).otherwise(F.col(x)).alias(x) if x in values else F.col(x) for x in c.df.columns), F.when(test, F.lit(True)).alias("_changed"))
-        path = f"{self.folder}/{c.name}/{uuid.uuid4().hex}"
-        changed.write.parquet(path)
-        stored = self.spark.read.schema(changed.schema).parquet(path)
-        self.unique(c, stored)
-        new = stored.filter("_changed").drop("_changed")
-        self.catalog.collections[c.name] = c = c.with_rows(stored.drop("_changed"))
-        self.versions[c.name] = path
+        path = self.store.folder.fresh("staged")
+        rows.select(*((values[x].alias(x) if x in values else F.col(x)) for x in fields)).write.parquet(path)
+        new = self.spark.read.schema(c.df.schema).parquet(path)
+        c = self.layered(c, _with_id(new, c).select("id"), new)
+        if any(set(k) & set(values) for k in c.unique):
+            self.unique(c, c.df)
         self.record(c, _with_id(new, c), "put", reader.now)
         if s.returning:
             return self.returned(reader, c, picked, s.returning)
@@ -347,7 +374,9 @@ class Database:
         if s.op == "compact":
             for name in [s.name] if s.name else list(known):
                 c = self.catalog.get(name)
-                self.stored(c, c.df.coalesce(1 if c.df.rdd.getNumPartitions() < 2 else max(1, c.df.rdd.getNumPartitions() // 4)))
+                indexes = {f: text_index.compacted(self.spark, i) for f, i in c.text_index.items()}
+                c = self.stored(c, c.df.repartitionByRange(c.id).sortWithinPartitions(c.id))
+                known[name] = replace(c, text_index=indexes)
             return None
         if s.op == "create":
             if s.name in known:
@@ -368,6 +397,7 @@ class Database:
             if s.name not in known and not s.lenient:
                 raise QueryError(f"no collection {s.name}")
             known.pop(s.name, None)
+            self.layers.pop(s.name, None)
             return None
         if s.op.endswith("index"):
             c = self.catalog.get(s.name)
@@ -386,19 +416,27 @@ class Database:
         c, a = self.catalog.get(s.name), s.args
         if "add" in a:
             f = a["add"]
-            known[s.name] = declared(c.with_rows(c.df.withColumn(f["name"], F.lit(None).cast(spark_type(f["type"])))), f)
+            known[s.name] = declared(self.reshaped(c, c.df.withColumn(f["name"], F.lit(None).cast(spark_type(f["type"])))), f)
         elif "drop" in a:
-            known[s.name] = c.with_rows(c.df.drop(a["drop"]))
+            known[s.name] = self.reshaped(c, c.df.drop(a["drop"]))
         elif "rename" in a:
-            known[s.name] = c.with_rows(c.df.withColumnRenamed(*a["rename"]))
+            known[s.name] = self.reshaped(c, c.df.withColumnRenamed(*a["rename"]))
         else:
             known[s.name] = declared(c, a["alter"])
         return None
 
+    def reshaped(self, c: Collection, df: DataFrame) -> Collection:
+        """The collection with other columns; rows that are kept here are written anew."""
+        return self.stored(c, df) if c.name in self.layers else c.with_rows(df)
+
+    def collect_garbage(self) -> int:
+        """Deletes layers, staged rows and answers that the latest manifest does not name. No statement may be running."""
+        return self.store.collected([*self.layers, *(n for n in self.catalog.collections if n not in self.layers), "staged"])
+
     # moments
-    def restore(self, snapshot: DataFrame, name: str, to: dt.datetime | int) -> DataFrame:
-        """A snapshot (id and fields) and the changes after it, as of a time or a sequence number."""
-        log = self.changes().filter(F.col("collection") == name)
+    def restore(self, snapshot: DataFrame, name: str, to: dt.datetime | int, since: int = 0) -> DataFrame:
+        """A snapshot (id and fields) and the changes after it (after number since), as of a time or a sequence number."""
+        log = self.changes(since).filter(F.col("collection") == name)
         log = log.filter(F.col("seq") <= to) if isinstance(to, int) else log.filter(F.col("at") <= F.lit(to))
         last = log.groupBy("id").agg(F.max_by("op", "seq").alias("op"), F.max_by("doc", "seq").alias("doc")).withColumnRenamed("id", "_id")
         rest = snapshot.join(last, F.col("id") == F.col("_id"), "left_anti")

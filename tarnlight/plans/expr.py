@@ -351,7 +351,7 @@ class Scope:
                 raise QueryError("within() takes a point and a box")
             box = self.value(e.args[1])
             if not isinstance(box, list | tuple) or len(box) != 4 or not (all(-180 <= x <= 180 for x in (box[0], box[2])) and -90 <= box[1] <= box[3] <= 90):
-                raise TypeMismatch("a box is [west, south, east, north] in degrees")
+                raise TypeMismatch("within() needs four degrees: the west, south, east and north edges")
             return geo.within(self.point(e.args[0]), tuple(box))
         if isinstance(e, Lit):
             return F.lit(bool(e.value) and e.value == e.value)

@@ -84,6 +84,8 @@ class Collection:
     text: dict[str, dict[str, Any]] = field(default_factory=dict)  # options of text indexes
     may_hold_nan: frozenset[str] = frozenset()
     hints: dict[str, list[str]] = field(default_factory=dict)
+    text_index: dict[str, Any] = field(default_factory=dict)  # of these very rows
+    vector_index: dict[str, Any] = field(default_factory=dict)
 
     @property
     def fields(self) -> list[str]:
@@ -99,7 +101,12 @@ class Collection:
         return name == "id" or name in self.df.columns
 
     def with_rows(self, df: DataFrame) -> Collection:
-        return replace(self, df=df)
+        """Other rows: indexes are of the old ones."""
+        return replace(self, df=df, text_index={}, vector_index={})
+
+    def with_id(self) -> DataFrame:
+        """The rows, with their id as `id`."""
+        return self.df if self.id == "id" else self.df.withColumn("id", F.col(self.id))
 
     def alive(self, now: Column) -> Column | None:
         if self.ttl is None:
@@ -131,6 +138,25 @@ class Catalog:
             raise QueryError(f"no collection {name}")
         return self.collections[name]
 
+    # indexes
+    def index_text(self, name: str, field_: str, folder: str) -> Collection:
+        """Builds a text index of a field, which `match` reads from then on."""
+        from ..operators import text_index
+
+        c = self.get(name)
+        built = text_index.build(c.with_id().select("id", field_), field_, folder, c.text.get(field_, {}))
+        self.collections[name] = replace(c, text_index=c.text_index | {field_: built})
+        return self.collections[name]
+
+    def index_vectors(self, name: str, field_: str, folder: str, **options: Any) -> Collection:
+        """Builds cells and codes of a vector field, which `near` reads from then on unless it says `exact` or filters."""
+        from ..operators import ann
+
+        c = self.get(name)
+        built = ann.build(c.with_id(), field_, folder, **options)
+        self.collections[name] = replace(c, vector_index=c.vector_index | {field_: built})
+        return self.collections[name]
+
     # scalar functions and plugins
     PROTECTED = frozenset({"distance", "within"})
 

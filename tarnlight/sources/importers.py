@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from .catalog import spark_type, sql_type
+from .catalog import Collection, kind_of, spark_type, sql_type
 
 SAMPLED = 1000
 
@@ -24,7 +24,7 @@ class Source(Protocol):
 
     def columns(self, table: str) -> list[tuple[str, str]]: ...
 
-    def read(self, spark: SparkSession, table: str) -> DataFrame: ...
+    def read(self, spark: SparkSession, table: str, *options) -> DataFrame: ...
 
 
 def planned(columns: list[tuple[str, str]], key: str | None = None) -> tuple[dict[str, str], str | None]:
@@ -36,7 +36,7 @@ def planned(columns: list[tuple[str, str]], key: str | None = None) -> tuple[dic
 
 
 class SqliteSource:
-    """A file of SQLite, read in batches by the driver's own library."""
+    """A file of SQLite, read in batches by the driver's own library and staged for the executors."""
 
     def __init__(self, path: str):
         self.path = path
@@ -56,14 +56,20 @@ class SqliteSource:
             raise QueryError(f"no table {table}")
         return [(name, declared or _inferred([r[k] for r in sample])) for k, (name, declared) in enumerate(found)]
 
-    def read(self, spark: SparkSession, table: str, batch: int = 50_000) -> DataFrame:
+    def read(self, spark: SparkSession, table: str, staged: str, batch: int = 50_000) -> DataFrame:
+        """The table, staged as Parquet under a folder: the driver holds a batch at a time, and the plan none."""
         kinds = [(n, sql_type(d)) for n, d in self.columns(table)]
         schema = ", ".join(f"`{n}` {spark_type(k)}" for n, k in kinds)
-        out = None
         for rows in self.batches(table, batch):
             one = spark.createDataFrame([tuple(_value(v, k) for v, (_, k) in zip(r, kinds, strict=True)) for r in rows], schema)
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else spark.createDataFrame([], schema)
+            one.write.mode("append").parquet(staged)
+        if not self.counted(table):
+            spark.createDataFrame([], schema).write.mode("append").parquet(staged)
+        return spark.read.schema(schema).parquet(staged)
+
+    def counted(self, table: str) -> int:
+        with self.connection() as db:
+            return db.execute(f'select count(*) from "{table}"').fetchone()[0]
 
     def batches(self, table: str, batch: int) -> Iterator[list[tuple]]:
         with self.connection() as db:
@@ -124,12 +130,52 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def typed_declaration(df: DataFrame, name: str, language: str = "python") -> str:
-    """A collection's rows as a type of a client language."""
-    kinds = {"python": {"bigint": "int", "int": "int", "double": "float", "float": "float", "string": "str", "boolean": "bool"}, "typescript": {"bigint": "number", "int": "number", "double": "number", "float": "number", "string": "string", "boolean": "boolean"}}
-    if language not in kinds:
+#: How the client languages name what JSON carries (int, float, text, bool, any, a list of).
+CLIENT_TYPES = {
+    "python": ("int", "float", "str", "bool", "Any", "list[{}]"),
+    "typescript": ("number", "number", "string", "boolean", "unknown", "{}[]"),
+    "go": ("int64", "float64", "string", "bool", "any", "[]{}"),
+    "csharp": ("long", "double", "string", "bool", "object", "List<{}>"),
+    "swift": ("Int64", "Double", "String", "Bool", "JSONValue", "[{}]"),
+    "kotlin": ("Long", "Double", "String", "Boolean", "JsonElement", "List<{}>"),
+    "dart": ("int", "double", "String", "bool", "dynamic", "List<{}>"),
+}
+
+
+def client_type(c: Collection, field: str, language: str) -> str:
+    """A field's type as a row's JSON carries it: times and sparse vectors are texts, bytes a list of numbers."""
+    whole, real, text, truth, anything, many = CLIENT_TYPES[language]
+    kind, t = c.kind(field), c.df.schema[c.id if field == "id" else field].dataType
+    plain = {"int": whole, "float": real, "text": text, "bool": truth, "timestamp": text, "sparse": text, "json": anything}
+    if kind in ("vector", "geo"):
+        return many.format(real)
+    if kind == "bytes":
+        return many.format(whole)
+    if kind == "list":
+        return many.format(plain.get(kind_of(t.elementType), anything))
+    return plain.get(kind, anything)
+
+
+def typed_declaration(c: Collection, language: str = "python") -> str:
+    """A collection's rows as a type of a client language; fields that may be null say so, the id may not."""
+    if language not in CLIENT_TYPES:
         raise QueryError(f"no client types for {language}")
-    known = kinds[language]
+    name = "".join(w.title() for w in c.name.split("_"))
+    rows = [("id", client_type(c, "id", language), False)]
+    rows += [(f, client_type(c, f, language), f not in c.required) for f in c.fields if f not in ("id", c.id)]
+    anything = CLIENT_TYPES[language][4]
     if language == "python":
-        return "\n".join([f"class {name.title()}(TypedDict):", *(f"    {c}: {known.get(t, 'object')} | None" for c, t in df.dtypes)])
-    return "\n".join([f"interface {name.title()} {{", *(f"  {c}: {known.get(t, 'unknown')} | null;" for c, t in df.dtypes), "}"])
+        return "\n".join([f"class {name}(TypedDict):", *(f"    {f}: {t} | None" if null and t != anything else f"    {f}: {t}" for f, t, null in rows)])
+    if language == "typescript":
+        return "\n".join([f"export interface {name} {{", *(f"  {f}: {t} | null;" if null and t != anything else f"  {f}: {t};" for f, t, null in rows), "}"])
+    if language == "go":
+        title = lambda f: "".join(w.title() for w in f.split("_"))
+        return "\n".join([f"type {name} struct {{", *(f'\t{title(f)} {"*" if null and t != anything and not t.startswith("[]") else ""}{t} `json:"{f}"`' for f, t, null in rows), "}"])
+    if language == "csharp":
+        return "\n".join([f"public record {name}(", ",\n".join(f"    {t}{'?' if null else ''} {f}" for f, t, null in rows), ");"])
+    optional = lambda t, null: f"{t}?" if null and t != "dynamic" else t
+    if language == "swift":
+        return "\n".join([f"struct {name}: Codable {{", *(f"    let {f}: {optional(t, null)}" for f, t, null in rows), "}"])
+    if language == "kotlin":
+        return "\n".join(["@Serializable", f"data class {name}(", ",\n".join(f"    val {f}: {optional(t, null)}" for f, t, null in rows), ")"])
+    return "\n".join([f"class {name} {{", *(f"  final {optional(t, null)} {f};" for f, t, null in rows), f"  const {name}({{" + ", ".join(f"required this.{f}" for f, _, _ in rows) + "});", "}"])

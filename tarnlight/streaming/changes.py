@@ -16,7 +16,7 @@ from ..sources.catalog import Collection
 
 def change_stream(spark: SparkSession, folder: str, since: int = 0, collection: str | None = None) -> DataFrame:
     """The change log as a stream, after a sequence number. The checkpoint of the query that reads it is its cursor."""
-    rows = spark.readStream.schema(CHANGES).parquet(f"{folder}/changes").filter(F.col("seq") > since)
+    rows = spark.readStream.schema(CHANGES).parquet(f"{folder}/changes").filter(F.col("seq") > since).drop("commit")
     return rows.filter(F.col("collection") == collection) if collection else rows
 
 
@@ -39,11 +39,14 @@ def follow(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], ch
 
 
 def difference(before: DataFrame, after: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(puts, dels) that lead from one answer to the next: rows that are new or other, ids that have left."""
-    same = F.xxhash64(*(F.col(c).cast("string") for c in after.columns))
-    old = before.select(F.col(id).alias("_id"), F.xxhash64(*(F.col(c).cast("string") for c in after.columns)).alias("_was"))
-    joined = after.withColumn("_is", same).join(old, F.col(id) == F.col("_id"), "left")
-    puts = joined.filter(~F.col("_was").eqNullSafe(F.col("_is"))).select(*after.columns)
+    """(puts, dels) that lead from one answer to the next: rows that are new or other in any column, nulls included, and ids that have left."""
+    maps = {c for c, t in after.dtypes if "map<" in t}
+    plain = lambda df, c: F.to_json(df[c]) if c in maps else df[c]  # noqa: E731  maps have no equality
+    old = before.select(F.col(id).alias("_id"), *(plain(before, c).alias(f"_was{k}") for k, c in enumerate(after.columns)), F.lit(True).alias("_held"))
+    same = F.col("_held").isNotNull()
+    for k, c in enumerate(after.columns):
+        same = same & plain(after, c).eqNullSafe(F.col(f"_was{k}"))
+    puts = after.join(old, F.col(id) == F.col("_id"), "left").filter(~same).select(*after.columns)
     dels = before.select(id).join(after.select(F.col(id).alias("_id")), F.col(id) == F.col("_id"), "left_anti")
     return puts, dels
 
