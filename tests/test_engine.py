@@ -274,6 +274,11 @@ def test_difference_of_answers(spark):
     b = spark.createDataFrame([(1, "x"), (3, "z"), (4, "n")], "id long, s string")
     puts, dels = changes.difference(a, b)
     assert sorted(r.id for r in puts.collect()) == [3, 4] and [r.id for r in dels.collect()] == [2]
+    a = spark.sql("select * from values (1L, 'a', null, map('x', 1)), (2L, null, null, map()), (3L, 'c', 'c', null) t(id, s, t, m)")
+    b = spark.sql("select * from values (1L, null, 'a', map('x', 1)), (2L, null, null, map('y', 2)), (3L, 'c', 'c', null) t(id, s, t, m)")
+    puts, dels = changes.difference(a, b)
+    assert sorted(r.id for r in puts.collect()) == [1, 2] and dels.count() == 0
+    assert changes.difference(a, a)[0].count() == 0
 
 
 def test_streaming_rollup_and_once(spark, tmp_path):
@@ -294,7 +299,7 @@ def test_sqlite_import(spark, tmp_path):
     s = importers.SqliteSource(path)
     assert s.tables() == ["c"]
     assert importers.planned(s.columns("c"), "id") == ({"id": "int", "name": "text", "at": "timestamp", "ok": "bool", "z": "float"}, "id")
-    got = s.read(spark, "c", batch=1).orderBy("id").collect()
+    got = s.read(spark, "c", str(tmp_path / "staged"), batch=1).orderBy("id").collect()
     assert [(r.id, r.name, r.ok, r.z) for r in got] == [(1, "a", True, 1.5), (2, None, False, 2.0)]
     assert [sql_type(x) for x in ("BIGINT", "timestamptz", "numeric(10,2)", "jsonb", "text[]", "bytea")] == ["int", "timestamp", "float", "json", "[text]", "bytes"]
 

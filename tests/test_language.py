@@ -38,7 +38,7 @@ def test_inserts_are_puts():
 
 
 def test_inner_gets_and_statements():
-    assert isinstance(parse_one("get t where id in (get u select k)").where, InSelect)
+    assert isinstance(parse_one("get talks where room in (get rooms select name where seats > 80)").where, InSelect)
     assert len(parse("get t; get u")) == 2
     assert parse_one("get t select last(px by at) as p").items[0].expr == Agg("last", Path(("px",)), Path(("at",)))
 
@@ -52,20 +52,20 @@ def test_refused(text):
 @pytest.mark.parametrize(
     "text",
     [
-        'get d match body "x" near v [1] limit 3',
-        'get d match body "x" fuse limit 3',
-        "get d near v [1] rerank v [1] limit 3",
-        "get v facet k, k",
-        "get v facet n ranges [0]",
-        "get v facet n ranges [2, 1]",
-        "get v select count(*) facet k",
-        'get d match body "x" order a limit 3',
-        "get d near v [1] limit 3 lookup c on k",
-        "get d where count(*) = 1",
-        "get d select sum(count(*)) as n",
-        "get d having x = 1",
-        "get a lookup b on k lookup a on k",
-        'get d match body "x" near v [1] fuse k 0 limit 3',
+        'get talks match abstract "storage" near topic [0.5, 1] limit 4',
+        'get talks match abstract "storage" fuse limit 4',
+        "get talks near topic [0.5, 1] rerank topic [1, 0] limit 4",
+        "get talks facet room, year, room",
+        "get talks facet seats ranges [50]",
+        "get talks facet seats ranges [90, 50, 10]",
+        "get talks select room, max(seats) as most group room facet year",
+        'get talks match abstract "storage" order year limit 4',
+        "get talks near topic [0.5, 1] limit 4 lookup speakers on talk",
+        "get talks where sum(seats) > 10",
+        "get talks select avg(sum(seats)) as mean",
+        "get talks having year > 2000",
+        "get talks lookup speakers on talk lookup talks on speaker",
+        'get talks match abstract "storage" near topic [1, 0] fuse k 20000 limit 4',
     ],
 )
 def test_clauses_that_do_not_go_together(text):

@@ -32,7 +32,7 @@ def norm(df, columns):
     return sorted(tuple(one(v) for v in row) for row in df[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n in SQL and n not in ("sketch_rollup", "approx_distinct_close")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n in SQL))
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df()
     columns = sorted(want.columns)
