@@ -8,7 +8,7 @@ from bisect import bisect_right
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,8 +90,16 @@ def terms_of(text: Column, single: bool = False) -> Column:
     return F.when(text.isNull(), empty).when(text.rlike(LATIN), plain).otherwise(full(F.when(~text.rlike(LATIN), text)))
 
 
-def counts_of(text: Column, groups: list[list[str]], single: bool = False) -> Column:
-    """[terms in all, terms in each group] of a text column: only counts come back from Python."""
+#: Terms up to which texts are looked through for any of them before they are taken apart.
+FEW_TERMS = 20
+
+
+def counts_of(rows: DataFrame, groups: list[list[str]], single: bool = False, holding: bool = False) -> DataFrame:
+    """id, _length, _f0.. of rows (id, _text): the terms of each text, and how many are of each group.
+
+    Latin texts are taken apart once, in the JVM; of others only counts come back from Python. holding: rows that hold no
+    term may be left out.
+    """
     place: dict[str, list[int]] = {}
     for k, g in enumerate(groups, 1):
         for t in g:
@@ -112,13 +120,26 @@ def counts_of(text: Column, groups: list[list[str]], single: bool = False) -> Co
 
         return s.map(one)
 
-    def among(wanted: list[str]):
-        return lambda t: t.isin(wanted)
-
-    found = F.regexp_extract_all(F.lower(text), F.lit(LATIN_WORDS), F.lit(0))
-    plain = F.array(F.size(found), *(F.size(F.filter(found, among(g))) for g in groups))
-    nothing = F.array(*[F.lit(0)] * width)
-    return F.when(text.isNull(), nothing).when(text.rlike(LATIN), plain).otherwise(full(F.when(~text.rlike(LATIN), text)))
+    latin = F.coalesce(F.col("_text").rlike(LATIN), F.lit(False))
+    rows = rows.select("id", "_text", latin.alias("_latin"))
+    low = F.lower("_text")
+    if holding and len(place) <= FEW_TERMS:
+        some = F.lit(False)
+        for t in place:
+            some = some | low.contains(t)
+        rows = rows.filter(~F.col("_latin") | some)
+    rows = rows.select("id", F.when(F.col("_latin"), F.regexp_extract_all(low, F.lit(LATIN_WORDS), F.lit(0))).alias("_w"), F.when(~F.col("_latin"), F.col("_text")).alias("_other"))
+    rows = rows.select("id", "_w", full.asNondeterministic()("_other").alias("_n"))
+
+    def among(g: list[str]) -> Column:
+        if len(g) == 1:
+            return F.size("_w") - F.size(F.array_remove("_w", g[0]))
+        return F.size(F.filter("_w", lambda t: t.isin(g)))
+
+    here = F.col("_w").isNotNull()
+    # filters on the counts stay above them: below, each would take the texts apart again
+    each = [F.when(here, c).otherwise(F.get("_n", F.lit(k))) for k, c in enumerate([F.size("_w"), *map(among, groups)])]
+    return rows.select("id", each[0].alias("_length"), *(c.alias(f"_f{k}") for k, c in enumerate(each[1:])))
 
 
 def casefold(text: Column, turkish: bool = False) -> Column:

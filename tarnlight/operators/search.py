@@ -46,7 +46,7 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
     if within and allowed_rows is not None:
         collection = collection.join(allowed_rows, "id", "left_semi")
     index = None if within else scope.collection.text_index.get(m.field.text)
-    column = None if index else text_index.with_beginnings(terms_of(scope.field(m.field).as_kind("text"), single), options)
+    parsed_of = lambda: text_index.with_beginnings(terms_of(F.col("_text"), single), options)
     wanted: dict[str, list[tuple[str, int]]] = {}  # a query word -> its variants and their distances
     counts: dict[str, int] = {}
     for w in words:
@@ -60,7 +60,7 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
         last = None
     spark = collection.sparkSession
     if m.fuzzy or last:
-        dictionary = index.terms(spark).select(F.col("term").alias("t")) if index else collection.select(F.explode(column).alias("t")).distinct()
+        dictionary = index.terms(spark).select(F.col("term").alias("t")) if index else spread(collection.select("id", scope.field(m.field).as_kind("text").alias("_text"))).select(F.explode(parsed_of()).alias("t")).distinct()
         for w, more in _variants(dictionary, counts, last, m.fuzzy or 0).items():
             wanted[w] += more
     # a word's variants of one distance count as one
@@ -78,14 +78,18 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
     if index:
         only = [g for _, _, g in groups]
         return Ranked(text_index.scored(spark, index, only, lambda _: weigh(index.n), k1, b, allowed_rows, k), True, found)
-    # one pass: lengths and frequencies of the query's own few terms; statistics follow from the same rows
-    if options.get("prefix"):
-        parsed = collection.select("id", column.alias("_terms"))
-        counted = parsed.select("id", F.array(F.size("_terms"), *(F.size(F.filter(F.col("_terms"), _among(g.terms))) for _, _, g in groups)).alias("_counts"))
-    else:
-        counted = collection.select("id", counts_of(scope.field(m.field).as_kind("text"), [g.terms for _, _, g in groups], single).alias("_counts"))
-    rows = counted.select("id", F.get("_counts", F.lit(0)).alias("_length"), *(F.get("_counts", F.lit(j + 1)).alias(f"_f{j}") for j in range(len(groups))))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"), *(F.count(F.when(F.col(f"_f{j}") > 0, 1)).alias(f"d{j}") for j in range(len(groups)))).head()
+    texts = spread(collection.select("id", scope.field(m.field).as_kind("text").alias("_text")))
+    only = [g.terms for _, _, g in groups]
+
+    def counted(holding: bool) -> DataFrame:
+        if not options.get("prefix"):
+            return counts_of(texts, only, single, holding)
+        parsed = texts.select("id", parsed_of().alias("_terms"))
+        return parsed.select("id", F.size("_terms").alias("_length"), *(F.size(F.filter(F.col("_terms"), _among(g))).alias(f"_f{j}") for j, g in enumerate(only)))
+
+    # statistics are of all rows; scores then of those that may hold a term
+    stats = counted(False).agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"), *(F.count(F.when(F.col(f"_f{j}") > 0, 1)).alias(f"d{j}") for j in range(len(groups)))).head()
+    rows = counted(True)
     average = max(1.0, stats["avg"] or 1.0)
     for j, (_, _, g) in enumerate(groups):
         g.rows = stats[f"d{j}"]
@@ -102,6 +106,19 @@ def bm25(scope: Scope, collection: DataFrame, allowed_rows: DataFrame | None, m:
     return Ranked(out, True, found)
 
 
+#: Bytes of files for each core up to which a scan of texts is dealt over the cores.
+SPREAD_BYTES = 8_000_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows with work for each core: files of some megabytes may be one split, which one core would work off. Beyond
+    SPREAD_BYTES a core splits are many, and nothing is shuffled for it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return rows.repartition(cores) if size < SPREAD_BYTES * cores else rows
+
+
 def _among(wanted: list[str]):
     return lambda t: t.isin(wanted)
 

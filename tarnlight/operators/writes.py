@@ -266,17 +266,20 @@ class Database:
             self.require(scope, len(order), p.require)
         schema = T.StructType([T.StructField(c.id, c.df.schema[c.id].dataType), *(c.df.schema[f] for f in names)])
         new = self.spark.createDataFrame([tuple([r["id"], *(r.get(f) for f in names)]) for r in written.values()], schema).select(*c.df.columns)
-        for when, hook in self.catalog.hooks:
-            if when == "before":
-                new = hook(c, "put", new) or new
+        new = self.hooked("before", c, "put", new)
         if written:
             c = self.layered(c, _with_id(new, c).select("id"), new)
             self.record(c, _with_id(new, c), "put", reader.now)
-        for when, hook in self.catalog.hooks:
-            if when == "after":
-                hook(c, "put", new)
+        self.hooked("after", c, "put", new)
         return self.returned(reader, c, list(dict.fromkeys(order)), p.returning)
 
+    def hooked(self, when: str, c: Collection, op: str, rows: DataFrame) -> DataFrame:
+        """Runs the hooks of a write. One before it may give other rows to write (of a del: rows that it spares by leaving out), or refuse by raising."""
+        for at, hook in self.catalog.hooks:
+            if at == when and (given := hook(c, op, rows)) is not None and when == "before":
+                rows = given
+        return rows
+
     def held(self, c: Collection, docs: list[dict], keys: list[tuple[str, ...]]) -> list[dict]:
         """Rows that share a key with a document: as many as the documents have keys, at most."""
         test = F.lit(False)
@@ -311,10 +314,11 @@ class Database:
         if s.values is None:
             # the rows as they were, written once: they are the ids of the layer, the change rows and the answer
             path = self.store.folder.fresh("staged")
-            rows.select(*dict.fromkeys(["id", *fields])).write.parquet(path)
+            self.hooked("before", c, "del", rows.select(*dict.fromkeys(["id", *fields]))).write.parquet(path)
             old = self.spark.read.parquet(path)
             self.layered(c, old.select("id"), c.df.filter("false"))
             self.record(c, old, "del", reader.now)
+            self.hooked("after", c, "del", old)
             if not s.returning:
                 return Answer(old.agg(F.count(F.lit(1)).alias("count")))
             places = self.spark.createDataFrame([(x, k) for k, x in enumerate(picked)], "_of bigint, _place int")
@@ -333,12 +337,13 @@ class Database:
             else:
                 values[name] = scope.col(e).cast(kind)
         path = self.store.folder.fresh("staged")
-        rows.select(*((values[x].alias(x) if x in values else F.col(x)) for x in fields)).write.parquet(path)
+        self.hooked("before", c, "set", rows.select(*((values[x].alias(x) if x in values else F.col(x)) for x in fields))).write.parquet(path)
         new = self.spark.read.schema(c.df.schema).parquet(path)
         c = self.layered(c, _with_id(new, c).select("id"), new)
         if any(set(k) & set(values) for k in c.unique):
             self.unique(c, c.df)
         self.record(c, _with_id(new, c), "put", reader.now)
+        self.hooked("after", c, "set", new)
         if s.returning:
             return self.returned(reader, c, picked, s.returning)
         return Answer(new.agg(F.count(F.lit(1)).alias("count")))

@@ -120,6 +120,17 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def json_answer(answer) -> DataFrame:
+    """An answer as JSON texts: part is "rows" or the path of a facet, place the text's order within it."""
+    parts = {"rows": answer.df, **answer.facets}
+    out = None
+    for name, df in parts.items():
+        # pages and facets are answers already: their order is kept by numbering the sorted rows' partitions
+        one = json_rows(df).withColumn("place", F.monotonically_increasing_id()).select(F.lit(name).alias("part"), "place", "json")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def clustered(df: DataFrame, path: str, *keys: str, partitions: int | None = None) -> None:
     """Writes Parquet in ranges of the keys, sorted within, so that later filters on them skip files and row groups."""
     n = [partitions] if partitions else []

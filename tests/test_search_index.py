@@ -159,3 +159,24 @@ def test_client_types(spark, language, line):
     assert not any("name" in x and ("None" in x or "null" in x or "?" in x) for x in got.splitlines() if "required this" not in x)
     with pytest.raises(QueryError):
         importers.typed_declaration(c, "cobol")
+
+
+def test_a_word_that_stands_for_too_many_terms_is_refused(spark, monkeypatch):
+    from tarnlight.operators import search
+
+    monkeypatch.setattr(search, "MOST_VARIANTS", 20)
+    c = Catalog(spark)
+    c.register("t", spark.range(50).selectExpr("id", "concat('word', id) as body"))
+    with pytest.raises(QueryError):
+        Reader(c).select(parse_one('get t select id match body "word" prefix limit 3'))
+    assert Reader(c).select(parse_one('get t select id match body "word1" prefix limit 30')).df.count() == 11
+
+
+def test_turkish_folds_and_orders(spark):
+    c = Catalog(spark)
+    df = spark.createDataFrame([(1, "İZMİR"), (2, "izmir"), (3, "IRMAK"), (4, "ırmak"), (5, "zeytin")], "id long, s string")
+    c.register("cities", df, nocase={"s"}, collate={"s": "tr"})
+    found = lambda q: [r.id for r in Reader(c).select(parse_one(q)).df.collect()]
+    assert found("get cities select id where s = 'IRMAK' order id") and 5 == found("get cities select id order s")[-1]
+    got = df.select(textfn.casefold(df.s, turkish=True).alias("f")).collect()
+    assert [r.f for r in got] == ["izmir", "izmir", "ırmak", "ırmak", "zeytin"]

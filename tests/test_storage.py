@@ -177,3 +177,49 @@ def test_tools(spark, tmp_path):
     for name, arguments in (("write", {"query": "del boats"}), ("remember", {"text": "x"})):
         with pytest.raises(QueryError):
             Tools(db).call(name, arguments)
+
+
+def test_hooks_before_and_after_writes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = []
+
+    class Watch:
+        def functions(self):
+            return [("doubled", lambda x: x * 2, 1, "twice as much")]
+
+        def before(self, c, op, rows):
+            if op == "del":
+                return rows.filter("id != 5")
+            return rows.withColumn("mass", F.least("mass", F.lit(1000)))
+
+        def after(self, c, op, rows):
+            seen.append((c.name, op, rows.count()))
+
+    db = boats(spark, tmp_path / "db")
+    db.catalog.install(Watch())
+    db.run("put boats {id: 60, name: 'x', mass: 5000, dock: 1}; set boats {mass: doubled(mass) * 100} where id = 3; del boats where id in [4, 5]", now=NOW)
+    got = state(db)
+    assert got[60][1] == 1000 and got[3][1] == 1000 and 4 not in got and 5 in got
+    assert seen == [("boats", "put", 1), ("boats", "set", 1), ("boats", "del", 1)]
+
+    def refuse(c, op, rows):
+        raise QueryError("not today")
+
+    db.catalog.hooks.append(("before", refuse))
+    with pytest.raises(QueryError, match="not today"):
+        db.run("del boats where id = 7", now=NOW)
+    assert 7 in state(db)
+
+
+def test_answers_as_json(spark, tmp_path):
+    import json
+
+    from tarnlight.operators.read import Reader
+    from tarnlight.plans.parser import parse_one
+    from tarnlight.sources.importers import json_answer
+
+    db = boats(spark, tmp_path / "db")
+    rows = json_answer(Reader(db.catalog).select(parse_one("get boats select id, mass order mass desc limit 2 facet dock"))).orderBy("place").collect()
+    assert [json.loads(r.json) for r in rows if r.part == "rows"] == [{"id": 39, "mass": 390}, {"id": 38, "mass": 380}]
+    assert [json.loads(r.json)["count"] for r in rows if r.part == "dock"] == [10] * 4
