@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, exact_topk, html_template, jaccard_join, pii, secret_scan, sentencepiece_bpe, source_mix, toxicity
+from . import chat_format, exact_dedup, exact_topk, html_template, jaccard_join, pii, secret_scan, sentencepiece_bpe, source_mix, span_sql, toxicity
 from .common import read, spread
 
 
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": exact_topk.SQL, "op7_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op5_pii": span_sql.PII_SQL, "op6_exact_topk": exact_topk.SQL, "op7_chat_format": chat_format.SQL, "op8_jaccard_join": jaccard_join.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_secret_scan": span_sql.SECRETS_SQL}
