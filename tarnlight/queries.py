@@ -281,6 +281,9 @@ add("clustered_range", lambda spark, d: _clustered(spark, d), "SELECT event_id A
 add("request_lookup", lambda spark, d: _requested(spark, d, "customer", {"select": "c_name", "order": "c_acctbal.desc", "limit": "40", "lookup": "orders", "orders.on": "o_custkey", "orders.select": "o_orderkey", "orders.o_totalprice": "gte.100000", "orders.order": "-o_totalprice", "orders.limit": "2"}), "SELECT c_name, o_orderkey FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_totalprice >= 100000) o ON o_custkey = c_custkey AND rn <= 2")
 add("request_count", lambda spark, d: _requested(spark, d, "orders", {"o_orderstatus": "eq.F", "o_totalprice": "lt.90000", "count": ""}), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 90000")
 add("request_near", lambda spark, d: rounded(_request_near(spark, d), 6), NEAR.format(score=f"list_cosine_similarity(embedding::DOUBLE[], {VECTOR})", where="", way="DESC").replace("vec_id AS id", "vec_id, label"))
+add("named_statement", lambda spark, d: _named(spark, d), "SELECT o_orderkey AS id, round(o_totalprice, 4) AS o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 150000")
+add("tool_calls", lambda spark, d: _tools(spark, d), "SELECT 'get' AS tool, doc_id AS id, lang FROM documents WHERE doc_id = 7 UNION ALL SELECT 'query', count(*), lang FROM documents GROUP BY lang UNION ALL SELECT 'write', doc_id, 'xx' FROM documents WHERE doc_id = 9")
+add("held_claims", lambda spark, d: _claims(spark, d), "SELECT 1 AS worker, o_orderkey AS id FROM (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 4) UNION ALL SELECT 2, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 4 OFFSET 4)")
 REFUSED = (
     ("vectors of two dimensions", "get embeddings select id, dot(embedding, [1.0, 2.0]) as x", "run"),
     ("a box off the globe", "get events select id where within(loc, [200, 0, 210, 5])", "TypeMismatch"),
@@ -296,6 +299,39 @@ REFUSED = (
 add("refusals", lambda spark, d: _refusals(spark, d), "SELECT statement, outcome FROM (VALUES " + ", ".join(f"('{n}', '{o}')" for n, _, o in REFUSED) + ") t(statement, outcome)")
 
 
+def _named(spark, d):
+    from .operators.writes import Database
+    from .statements import Statements
+
+    s = Statements(Database(catalog(spark, d, "orders"), _folder(spark)))
+    s.define("large", "get orders select id, o_totalprice where o_orderstatus = $1 and o_totalprice > $2")
+    return rounded(s.run("large", "P", 150000.0).df)
+
+
+def _tools(spark, d):
+    """Rows that tools answer: one by id, groups, and what a write leaves."""
+    from .operators.writes import Database
+    from .tools import Tools
+
+    t = Tools(Database(catalog(spark, d, "documents"), _folder(spark)), writable=True)
+    rows = [("get", r["id"], r["lang"]) for r in t.call("get", {"collection": "documents", "id": 7})]
+    rows += [("query", r["n"], r["lang"]) for r in t.call("query", {"query": "get documents select lang, count(*) as n group lang"})]
+    t.call("write", {"query": "set documents {lang: 'xx'} where id = $1", "params": [9]})
+    rows += [("write", r["id"], r["lang"]) for r in t.call("query", {"query": "get documents select id, lang where lang = 'xx'"})]
+    return spark.createDataFrame(rows, "tool string, id bigint, lang string")
+
+
+def _claims(spark, d):
+    """Two workers that take jobs in turn never take the same."""
+    from .operators.writes import Database
+    from .streaming.replica import claimed
+
+    db = Database(catalog(spark, d, "orders"), _folder(spark))
+    take = "set orders {o_orderstatus: 'T'} where o_orderstatus = 'P' order o_orderdate limit 4 returning id"
+    rows = [(w, r["id"]) for w in (1, 2) for r in claimed(db, take, wait=1.0, now=NOW)]
+    return spark.createDataFrame(rows, "worker int, id bigint")
+
+
 def _null_keys(spark, d, text, flat=False):
     c = catalog(spark, d, "orders")
     df = c.get("orders").df
