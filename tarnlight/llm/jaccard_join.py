@@ -48,7 +48,7 @@ MEMBERS = 16
 #: Rows (two longs each) that are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Documents and shingles of a block.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -91,9 +91,9 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """(the rows of the first column, their sets), some megabytes of text at a time."""
+    """(the rows of the first column, their sets), half a megabyte of text at a time."""
     for batch in batches:
-        for part in pieces(batch, 1, 1_000_000):
+        for part in pieces(batch, 1, 500_000):
             yield part, shingles(part.column(1).cast(pa.binary()).to_pylist(), words)
 
 
@@ -316,13 +316,19 @@ class Join:
         family = families.join(units, F.col("node") == F.col("unit")).select(F.col("rep").alias("id"), "family").distinct().join(sized, "id")
         found = self.in_blocks(saved(self.dealt(family), "families"))
 
-        # pairs of one component travel together where each document then is sent less often than once for each pair
-        cluster = self.dealt(components(single).select(F.col("node").alias("id"), F.col("component").alias("family")).join(sized, "id"))
-        of_pairs = single.join(cluster.select("id", "family"), F.col("a") == F.col("id")).groupBy("family").agg(F.count(F.lit(1)).alias("pairs"))
-        cluster = saved(cluster.join(of_pairs, "family").withColumn("together", F.col("docs") * F.col("whole") <= 2 * F.col("pairs")), "clusters")
+        # pairs whose two documents have the same least neighbour (copies of one text mostly do) travel together, where each
+        # document then is sent less often than once for each pair; the others are sent pair by pair
+        ends = single.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        label = saved(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("family")), "pair-labels")
+        labels = [label.select(F.col("u").alias(end), F.col("family").alias(f"of_{end}")) for end in "ab"]
+        labelled = saved(single.join(labels[0], "a").join(labels[1], "b"), "labelled-pairs")
+        same = labelled.filter("of_a = of_b").withColumnRenamed("of_a", "family")
+        cluster = self.dealt(same.select(F.explode(F.array("a", "b")).alias("id"), "family").distinct().join(sized, "id"))
+        counts = same.groupBy("family").agg(F.count(F.lit(1)).alias("pairs"))
+        cluster = saved(cluster.join(counts, "family").withColumn("together", F.col("docs") * F.col("whole") <= 2 * F.col("pairs")), "clusters")
         found = found.unionByName(self.in_blocks(cluster.filter("together")))
-        apart = cluster.filter("not together").select("id")
-        found = found.unionByName(self.verified(single.join(apart, F.col("a") == F.col("id"), "left_semi")))
+        apart = same.join(cluster.filter("not together").select("family").distinct(), "family", "left_semi").select("a", "b")
+        found = found.unionByName(self.verified(apart.unionByName(labelled.filter("of_a != of_b").select("a", "b"))))
         return saved(found, "jaccard-links")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
