@@ -126,8 +126,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SPREAD_BYTES * cores else df
 
 
+#: Rows of an Arrow batch at most. Spark's own default of 10,000 takes tens of megabytes of texts outside the heap, in
+#: the JVM and in the worker, for each task.
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def released(run):
-    """A batch function whose task gives its memory back at its end: workers live on and hold other operators' tasks later."""
+    """A batch function whose task gives its memory back at its end: workers live on and hold other operators' tasks later.
+
+    The session's Arrow batches are cut to BATCH_ROWS from here on, if they were larger.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark and not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
 
     def wrapped(batches):
         import ctypes

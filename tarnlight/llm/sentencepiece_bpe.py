@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Marks before which a text is cut if the vocabulary allows it.
 MARKS = ",.;:!?|%&*#$)\"'"
 #: Parts that a worker remembers at most; then it starts anew.
-CACHED = 350_000
+CACHED = 220_000
 #: Characters of a part up to which its agenda is a plain list.
 SHORT = 24
 NONE = float("-inf")

@@ -52,8 +52,8 @@ FOLDS = 3
 PREDICTED = 0.7
 SPAN = 0.5
 #: Tokens that a worker remembers at most.
-CACHED = 300_000
-BATCH_BYTES = 4_000_000
+CACHED = 200_000
+BATCH_BYTES = 2_500_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
