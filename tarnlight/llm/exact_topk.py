@@ -9,9 +9,10 @@ Processing stops once few enough candidates are possible, which the bounds prove
 the bounds prove nothing, all segments are processed and the scores are exact by themselves.
 
 Distribution: queries (a stated set) and candidates are dealt into blocks of bounded size, row by row, so repeated ids
-do not gather. Each pair of blocks meets once, by (query block, slot); query blocks are the larger ones, since
-candidates travel once for each of them. A task keeps the k best so far of the block it is at, so that it
-returns k rows for each query and run of blocks, and their best are ranked at the end.
+do not gather. Each query block meets each slot of candidates once, in one task, to which both travel as single rows;
+nothing is broadcast. Query blocks are the larger ones, since candidates travel once for each of them, and queries once
+for each slot. A task keeps the queries of the block it is at, one block of candidates and the k best so far, so that it
+returns k rows for each query and slot, and their best are ranked at the end.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
 missing components of shorter vectors count as 0; rows with the query's own id are not its candidates; of repeated query
@@ -111,38 +112,67 @@ def _dense(lists: pa.ListArray) -> np.ndarray:
     return out
 
 
+def _joined(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all runs, padded to the widest."""
+    if len(runs) == 1:
+        return runs[0]
+    width = max(x[1].shape[1] for x in runs)
+    return np.concatenate([x[0] for x in runs]), np.concatenate([np.pad(x[1], ((0, 0), (0, width - x[1].shape[1]))) for x in runs])
+
+
 def _widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = max(a.shape[1], b.shape[1])
     return tuple(np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (a, b))
 
 
-def _searched(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: tuple | None = None  # query block, ids, vectors, for each query (ids, scores) so far
+def _searched(k: int, size: int):
+    """Over rows (q, slot, candidate, vec_id, v), each (q, slot) in one run with its queries first: the k best of each query in the run."""
 
-        def flush() -> pa.RecordBatch:
-            _, query_ids, _, found = state
-            counts = [len(x[0]) for x in found]
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(query_ids, counts), pa.int64()), "vec_id": pa.array(np.concatenate([x[0] for x in found]), pa.int64()), "score": pa.array(np.concatenate([x[1] for x in found]), pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: tuple | None = None
+        asked: list[tuple[np.ndarray, np.ndarray]] = []  # ids and vectors of the run's queries, as they come
+        there: list[tuple[np.ndarray, np.ndarray]] = []  # of candidates that were not searched yet
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # for each query the ids and scores so far
+
+        def search() -> None:
+            nonlocal asked, there, found
+            if asked and there:
+                asked, there = [_joined(asked)], [_joined(there)]
+                (query_ids, queries), (ids, block) = asked[0], there[0]
+                found = found or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
+                queries, block = _widened(queries, block)
+                floor = np.array([x[1][-1] if len(x[1]) >= k else -(2**62) for x in found], dtype=np.int64)
+                for j, some, scores in best(queries, query_ids, block, ids, floor, k):
+                    some, scores = np.concatenate([found[j][0], some]), np.concatenate([found[j][1], scores])
+                    order = np.lexsort((some, -scores))[:k]
+                    found[j] = some[order], scores[order]
+            there = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal asked, found
+            search()
+            if found:
+                counts = [len(x[0]) for x in found]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(asked[0][0], counts), pa.int64()), "vec_id": pa.array(np.concatenate([x[0] for x in found]), pa.int64()), "score": pa.array(np.concatenate([x[1] for x in found]), pa.int64())})
+            asked, found = [], []
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                place = batch.column(0)[row].as_py()
-                if state is None or state[0] != place:
-                    if state is not None:
-                        yield flush()
-                    asked = batch.column(1)[row].values
-                    ids = asked.field("vec_id").to_numpy()
-                    state = (place, ids, _dense(asked.field("v")), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids))
-                there = batch.column(2)[row].values
-                queries, block = _widened(state[2], _dense(there.field("v")))
-                floor = np.array([x[1][-1] if len(x[1]) >= k else -(2**62) for x in state[3]], dtype=np.int64)
-                for j, ids, scores in best(queries, state[1], block, there.field("vec_id").to_numpy(), floor, k):
-                    ids, scores = np.concatenate([state[3][j][0], ids]), np.concatenate([state[3][j][1], scores])
-                    order = np.lexsort((ids, -scores))[:k]
-                    state[3][j] = ids[order], scores[order]
-        if state is not None:
-            yield flush()
+            q, slot, candidate = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
+            cuts = np.flatnonzero((np.diff(q) != 0) | (np.diff(slot) != 0) | (np.diff(candidate.astype(np.int8)) != 0)) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(q)]):
+                if to == at:
+                    continue
+                if place != (q[at], slot[at]):
+                    yield from flush()
+                    place = q[at], slot[at]
+                while at < to:
+                    n = min(to - at, size - sum(len(x[0]) for x in there)) if candidate[at] else to - at
+                    rows = batch.slice(at, n)
+                    (there if candidate[at] else asked).append((rows.column(3).to_numpy(), _dense(rows.column(4))))
+                    at += n
+                    if sum(len(x[0]) for x in there) >= size:
+                        search()
+        yield from flush()
 
     return run
 
@@ -154,11 +184,13 @@ def top_k(rows: DataFrame, asked: DataFrame, k: int = K, block: int = BLOCK, blo
     rows = saved(rows, "topk-candidates")
     here, there = max(1, -(-asked.count() // block_asked)), max(1, -(-rows.count() // block))
     slots = min(there, max(1, partitions(spark) // here))
-    packed = lambda df, n, name: df.groupBy(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"_{name}"))  # noqa: E731  about `block` rows
-    q = packed(asked, here, "q").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    c = packed(rows, there, "c").withColumn("slot", F.pmod("c", F.lit(slots)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(here - 1).cast("long"))))
-    pairs = c.join(q, ["q", "slot"]).select("q", "_q", "_c")
-    found = pairs.mapInArrow(released(_searched(k)), "query_id long, vec_id long, score long")
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select(dealt(here).alias("q"), F.lit(False).alias("candidate"), "vec_id", "v").select("q", every(slots).alias("slot"), "candidate", "vec_id", "v")
+    c = rows.select(dealt(slots).alias("slot"), F.lit(True).alias("candidate"), "vec_id", "v").select(every(here).alias("q"), "slot", "candidate", "vec_id", "v")
+    # both sides travel as rows to the one task of their (q, slot)
+    met = q.unionByName(c).repartitionById(here * slots, F.col("q") * slots + F.col("slot")).sortWithinPartitions("q", "slot", "candidate")
+    found = met.mapInArrow(released(_searched(k, block)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

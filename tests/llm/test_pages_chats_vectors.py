@@ -150,6 +150,17 @@ def test_topk_null_and_repeated_ids(spark, few):
     assert exact_topk.top_k(v.filter("false"), v.filter("false")).count() == 0
 
 
+def test_topk_broadcasts_no_table(spark):
+    """Blocks of queries were broadcast once for each slot: their vectors came to the driver, more of them the larger the table."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(-9, 10, size=(400, 8))
+    v = exact_topk.integers(spark.createDataFrame([(k, a) for k, a in enumerate(x.astype(float).tolist())], "vec_id long, embedding array<double>"), scale=1.0)
+    found = exact_topk.top_k(v, v.filter("vec_id % 20 = 0"), block=16, block_asked=8)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    assert got == brute_topk(list(enumerate(x)), 20)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_proves_stops_on_the_test_tables():
     import duckdb
 
