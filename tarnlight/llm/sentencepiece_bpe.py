@@ -2,9 +2,10 @@
 
 A text is normalised as the model does it (white space escaped, dummy prefix), cut where no piece can span the cut,
 and each part is merged by an agenda of adjacent symbol pairs: the pair with the best score goes first, the leftmost
-among equals; a popped pair whose symbols have changed since is passed over. Parts recur, so their ids are kept in a
-bounded cache for each task. In each Arrow batch every part that was merged, and if asked every whole text, is held
-against the sentencepiece library; a difference raises.
+among equals; a popped pair whose symbols have changed since is passed over. Short parts are merged many at a time, their
+agendas being the rows of a matrix. Parts recur, so their ids are kept in a bounded cache for each task. In each Arrow
+batch every part that was merged, and if asked every whole text, is held against the sentencepiece library; a difference
+raises.
 
 The model file is public reference data of a fixed size. Its bytes travel with the function.
 
@@ -20,7 +21,10 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +34,34 @@ from .common import pieces, released, text_of
 SPACE = "▁"
 #: Marks before which a text is cut if the vocabulary allows it.
 MARKS = ",.;:!?|%&*#$)\"'"
-#: Parts that a worker remembers at most; then it starts anew.
+#: Parts that a worker remembers at most, in two halves: when the younger is full, the elder goes, but for what was met since.
 CACHED = 220_000
-#: Characters of a part up to which its agenda is a plain list.
+#: Characters of a part up to which its agenda is a plain list, or a row of a matrix.
 SHORT = 24
+#: Characters of a part up to which it is remembered.
+REMEMBERED = 64
+#: Rows of a matrix of agendas, and parts of a line that is held against the library.
+ROWS, LINE = 4096, 32
 NONE = float("-inf")
 #: Bytes of text that are encoded and checked at a time.
 BATCH_BYTES = 1_000_000
 
 
+class Remembered(dict):
+    """Parts and what they become: (ids, their decimal forms joined by commas). What is asked for and not known is new, or comes from the elder."""
+
+    def __init__(self, elder: dict | None = None):
+        self.elder, self.new = elder or {}, []
+
+    def __missing__(self, part: str):
+        got = self.elder.get(part)
+        if got is None:
+            got = [(), ""]  # filled in later, before anyone reads it
+            self.new.append(part)
+        self[part] = got
+        return got
+
+
 class Merger:
     """Encodes with a merge-type model, from its list of pieces and scores alone."""
 
@@ -66,11 +89,27 @@ class Merger:
         # and before these marks, where a letter or digit stands before them
         joint = {b for p in longer for a, b in zip(p, p[1:]) if a.isalnum()}
         marks = "".join(re.escape(c) for c in MARKS if c not in joint)
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        rest = f"{SPACE}*[^{SPACE}\n]*\n?"
-        self.parts = re.compile(f"{SPACE}*+[^\\W_]++(?=[{marks}])|{rest}" if marks else rest)
+        self.cache = Remembered()
+        rest = f"[^{SPACE}\n]*+\n?"
+        self.parts = re.compile(f"{SPACE}*+(?:[^\\W_]++(?:(?=[{marks}])|{rest})|{rest})" if marks else f"{SPACE}*+{rest}")
         #: parts that were merged since the last check
         self.fresh: list[str] = []
+        # for matrices: the pieces of characters, and what pairs of pieces join to, by left * (n + 1) + right; n stands for none
+        self.none, self.names = n, [str(i) for i in range(n)]
+        self.chars = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
+        get = self.ids.get
+        joins = sorted((a * (n + 1) + b, i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := get(p[:k])) is not None and (b := get(p[k:])) is not None)
+        self.keys = np.array([x[0] for x in joins] + [2**62], np.int64)
+        self.joins = np.array([x[1] for x in joins] + [n], np.int32)
+        # places of the scores: equal ones have the same, and the best is the largest
+        place = {s: k for k, s in enumerate(sorted(set(self.scores.values())))}
+        places = np.full(n + 1, -1, np.int32)
+        for p, i in self.ids.items():
+            places[i] = place[self.scores[p]]
+        self.places = places
 
     def merged(self, part: str) -> list[int]:
         """The ids of one part."""
@@ -88,18 +127,73 @@ class Merger:
                 out.append(self.unknown)
         return out
 
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of pieces join to, or none."""
+        keys = left.astype(np.int64) * (self.none + 1) + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.joins[at], self.none)
+
+    def together(self, parts: list[str]) -> list[list[int]]:
+        """The ids of each of many parts: a row of the agenda for each, from which every round takes the best pair, the leftmost among equals."""
+        out: list[list[int] | None] = [None] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        short = np.argsort(sizes, kind="stable")[: np.count_nonzero(sizes <= SHORT)]
+        for at in range(0, len(short), ROWS):
+            rows = short[at : at + ROWS]
+            some = [parts[k] for k in rows.tolist()]
+            lengths = sizes[rows]
+            symbols = np.full((len(some), lengths.max() + 1), self.none, np.int32)
+            symbols[np.arange(symbols.shape[1]) < lengths[:, None]] = self.chars[np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)]
+            known = (symbols >= 0).all(1)  # other parts have characters that are no pieces
+            symbols, lengths, rows = symbols[known], lengths[known], rows[known]
+            agenda = self.places[self.joined(symbols[:, :-1], symbols[:, 1:])]
+            while len(rows):
+                best = agenda.argmax(1)
+                each = np.arange(len(rows))
+                go = agenda[each, best] >= 0
+                if not go.all():
+                    done = ~go
+                    for k, n, row in zip(rows[done].tolist(), lengths[done].tolist(), symbols[done].tolist()):
+                        out[k] = row[:n]
+                    symbols, agenda, lengths, rows, best = symbols[go], agenda[go], lengths[go], rows[go], best[go]
+                    each = np.arange(len(rows))
+                symbols[each, best] = self.joined(symbols[each, best], symbols[each, best + 1])
+                past = np.arange(symbols.shape[1] - 1) - best[:, None]
+                symbols = np.where(past > 0, symbols[:, 1:], symbols[:, :-1])
+                agenda = np.where(past[:, :-1] >= 0, agenda[:, 1:], agenda[:, :-1])
+                lengths = lengths - 1
+                # the joined symbol's pairs to either side, where there are such
+                left, right = best > 0, best < agenda.shape[1]
+                for where, first in ((left, best - 1), (right, best)):
+                    e, f = each[where], first[where]
+                    agenda[e, f] = self.places[self.joined(symbols[e, f], symbols[e, f + 1])]
+                if not agenda.shape[1]:
+                    for k, n, row in zip(rows.tolist(), lengths.tolist(), symbols.tolist()):
+                        out[k] = row[:n]
+                    break
+        rest = [k for k, x in enumerate(out) if x is None]
+        lines = [k for k in rest if len(parts[k]) > 1 and parts[k][-1] == "\n"]  # no piece spans the cut before it
+        if lines:
+            end = self.merged("\n")
+            for k, ids in zip(lines, self.together([parts[k][:-1] for k in lines])):
+                out[k] = ids + end
+        return [self.merged(p) if x is None else x for p, x in zip(parts, out)]
+
     def checked(self) -> None:
-        """Holds every part merged since the last check against the library, line by line in one text; raises at a difference."""
-        line = self.merged("\n")
+        """Holds every part merged since the last check against the library, in lines of some parts each; raises at a difference."""
+        line, space = tuple(self.merged("\n")), self.merged(SPACE)
         for at in range(0, len(self.fresh), 100_000):
             parts = self.fresh[at : at + 100_000]
-            ids = self.merged(SPACE)
-            for part in parts:
-                got = self.cache.get(part)
-                ids += line
-                ids += got[0] if got else self.merged(part)
-            if self.library.encode("\n" + "\n".join(parts)) != ids:
+            get, elder = self.cache.get, self.cache.elder
+            found = [got[0] if (got := get(p) or elder.get(p)) else tuple(self.merged(p)) for p in parts]
+            lines = range(0, len(parts), LINE)
+            ids = [[*space, *chain.from_iterable(chain.from_iterable(zip(repeat(line), found[k : k + LINE])))] for k in lines]
+            if self.library.encode(["\n" + "\n".join(parts[k : k + LINE]) for k in lines], num_threads=1) != ids:
                 raise ValueError("the ids differ from the library's")
+        for part in self.fresh:
+            if len(part) > REMEMBERED:
+                self.cache.pop(part, None)
+                self.cache.elder.pop(part, None)
         self.fresh.clear()
 
     def few(self, symbols: list[str]) -> list[str]:
@@ -138,22 +232,21 @@ class Merger:
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and their decimal forms joined by commas."""
-        if not text:
-            return [], ""
-        cache, ids, words = self.cache, [], []
-        if len(cache) > CACHED:
-            cache.clear()
-        for part in self.parts.findall(SPACE + text.replace(" ", SPACE))[:-1]:  # the last is empty
-            got = cache.get(part)
-            if got is None:
-                found = self.merged(part)
-                got = tuple(found), ",".join(map(str, found))
-                if len(part) <= 64:
-                    cache[part] = got
-                self.fresh.append(part)
-            ids += got[0]
-            words.append(got[1])
-        return ids, ",".join(words)
+        return self.encoded([text])[0]
+
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """For each text the ids, and their decimal forms joined by commas."""
+        if len(self.cache) > CACHED // 2:
+            self.cache.elder = {}
+            self.cache = Remembered(self.cache)
+        cache, names = self.cache, self.names
+        parts = (self.parts.findall(SPACE + t.replace(" ", SPACE))[:-1] if t else [] for t in texts)  # the last is empty
+        found = [list(map(cache.__getitem__, own)) for own in parts]
+        for part, ids in zip(cache.new, self.together(cache.new)):
+            cache[part][:] = tuple(ids), ",".join([names[i] for i in ids])
+        self.fresh += cache.new
+        cache.new.clear()
+        return [(list(chain.from_iterable(map(itemgetter(0), got))), ",".join(map(itemgetter(1), got))) for got in found]
 
 
 def _digests(model: bytes, keep_ids: bool, verify: str):
@@ -162,7 +255,7 @@ def _digests(model: bytes, keep_ids: bool, verify: str):
         gc.disable()  # the cache holds no cycles, and walking it costs time
 
         def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
-            found = [merger.encode(t) for t in texts]
+            found = merger.encoded(texts)
             ids = [x[0] for x in found]
             merger.checked()
             if verify == "texts" and (theirs := merger.library.encode(texts, num_threads=1)) != ids:

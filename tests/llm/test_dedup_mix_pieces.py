@@ -159,6 +159,27 @@ def test_agendas_agree():
         assert merger.few(list(s)) == merger.many(list(s))
 
 
+def test_pieces_merged_together(monkeypatch):
+    """Short parts were merged one by one in Python, and the whole cache went when it was full: the query went beyond its time."""
+    import random
+
+    merger, rng = sentencepiece_bpe.Merger(open(model_path(), "rb").read()), random.Random(8)
+    parts = ["".join(rng.choice("▁theinrsao.,é本\n" if k % 3 else "theina") for _ in range(rng.randint(1, 40))) for k in range(6000)]
+    parts = [p[: p.find("\n") + 1] or p for p in parts] + ["\n", "▁"]
+    assert merger.together(parts) == [merger.merged(p) for p in parts] and merger.together([]) == []
+    calls = []
+    monkeypatch.setattr(merger, "few", lambda symbols, few=merger.few: calls.append(symbols) or few(symbols))
+    words = ["".join(rng.choice("theinrsao") for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    text = " ".join(words) + "\n"
+    assert merger.encode(text)[0] == merger.library.encode(text) and not calls
+    monkeypatch.setattr(sentencepiece_bpe, "CACHED", 100)
+    for at in range(0, 3000, 30):
+        text = " ".join(words[at : at + 30] + words[:10])
+        assert merger.encode(text)[0] == merger.library.encode(text)
+        merger.checked()
+    assert len(merger.cache) + len(merger.cache.elder) <= 200 and not merger.cache.elder.elder
+
+
 class Twin:
     """The rounding, plainly, one document after another; its draws are the same hashes."""
 
