@@ -742,31 +742,27 @@ def _near_indexed(spark, d, quant):
     return rounded(Reader(c, (QUERY,)).select(parse_one("get embeddings select id near embedding $1 limit 10")).df, 6)
 
 
-#: Vectors asked in one job.
-ASKED = 20
-
-
 def _recalls(spark, d, complete=True):
     """query, recall: each vec_id divisible by 100 against all rows, with the defaults of the index; the share of its ten exact neighbours that are found."""
     import itertools
 
+    import numpy as np
+
     path = _folder(spark)
     rows = catalog(spark, d, "embeddings").get("embeddings").df.withColumn("id", F.col("vec_id"))
     found = ann.centres(rows, "embedding")
-    ann.indexed(rows, "embedding", found).write.parquet(path)
+    # a pass over the rows is work for each core, whatever files they came in
+    ann.indexed(rows.filter("embedding is not null"), "embedding", found).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     index = spark.read.parquet(path)
     asked = rows.filter("vec_id % 100 = 0 and embedding is not null").select("id", "embedding").toLocalIterator()
     parts = 0
-    while some := list(itertools.islice(asked, ASKED)):
-        got = [ann.search(index, "embedding", found, r.embedding, 10, complete=complete).select(F.lit(r.id).alias("query"), "id") for r in some]
-        true = []
-        for r in some:
-            score = ann.vectors.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in r.embedding)))
-            best = index.filter("embedding is not null").select("id", score.alias("_score")).orderBy(F.desc("_score"), "id").limit(10)
-            true.append(best.select(F.lit(r.id).alias("query"), "id"))
-        got, true = (functools.reduce(DataFrame.unionByName, x) for x in (got, true))
-        each = true.join(got.withColumn("hit", F.lit(1)), ["query", "id"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
-        each.write.parquet(f"{path}-recall/{parts}")
+    while some := list(itertools.islice(asked, max(1, min(ann.ASKED, ann.NUMBERS // max(1, found.shape[1]))))):
+        q = np.array([r.embedding for r in some], dtype=np.float64)
+        got = ann.search_many(index, "embedding", found, q, 10, complete=complete).select("query", "id", F.lit(1).alias("hit"))
+        true = ann.exact_many(index, "embedding", q, 10).select("query", "id")
+        each = true.join(got, ["query", "id"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+        ids = spark.createDataFrame([(k, r.id) for k, r in enumerate(some)], "query int, of long")
+        each.join(F.broadcast(ids), "query").select(F.col("of").alias("query"), "recall").write.parquet(f"{path}-recall/{parts}")  # a portion of the queries
         parts += 1
     if not parts:
         return spark.createDataFrame([], "query long, recall double")
