@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..plans.ast import (
     Binary,
     Call,
     Exists,
+    InList,
     InSelect,
     Item,
     Lit,
@@ -36,6 +38,10 @@ from ..sources.catalog import Catalog, Collection
 from . import aggregate, facets, search
 
 
+#: Values of a list that are broadcast at most.
+BROADCAST_VALUES = 500_000
+
+
 @dataclass
 class Answer:
     df: DataFrame
@@ -132,12 +138,26 @@ class Reader:
                 df = df.join(found, key.as_kind("text") == F.col("_value"), "left_anti" if negate else "left_semi")
             elif isinstance(e, Exists):
                 df = self.exists(scope, df, e.select, negate, inner)
+            elif (many := self.listed_values(scope, e)) is not None:
+                key, found, negated = many
+                df = df.join(found, key == F.col("_value"), "left_anti" if negated != negate else "left_semi")
             else:
                 e = self.scalars(e, inner)
                 test = scope.test(Unary("not", e) if negate else e, bare=not negate)
                 df = df.filter(test)
         return df
 
+    def listed_values(self, scope: Scope, e: Any) -> tuple[Column, DataFrame, bool] | None:
+        """A test of a list of more than MANY_VALUES: what is looked up, the values as rows (`_value`), and whether they are ruled out."""
+        negated = isinstance(e, Unary) and e.op == "not"
+        e = e.x if negated else e
+        found = scope.many(e) if isinstance(e, InList) else None
+        if found is None:
+            return None
+        key, values, kind = found
+        rows = self.catalog.spark.createDataFrame(pa.table({"_value": pa.array(values, kind)}))
+        return key, F.broadcast(rows) if len(values) <= BROADCAST_VALUES else rows, negated  # counted
+
     def scalars(self, e: Any, inner: int) -> Any:
         """Comparisons with an inner get's one value: it is asked first, and is one value."""
         if isinstance(e, Binary):

@@ -10,6 +10,7 @@ import datetime as dt
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,10 @@ from ..sources.catalog import Catalog, Collection, kind_of
 from .ast import Agg, Binary, Call, Case, InList, Interval, ListOf, Lit, ObjectOf, Param, Path, Unary
 
 
+#: Values of a list up to which it is an expression, which the scan is handed; longer ones are joined.
+MANY_VALUES = 1000
+
+
 @dataclass(frozen=True)
 class Typed:
     col: Column
@@ -301,6 +306,21 @@ class Scope:
         return F.array(F.lit(float(v[0])), F.lit(float(v[1])))
 
     # tests
+    def many(self, e: InList) -> tuple[Column, list, pa.DataType] | None:
+        """What is looked up in a list of more than MANY_VALUES, the list, and its type; None of shorter lists, and of those that are compared value by value."""
+        v = self.value(e.items[0]) if len(e.items) == 1 and isinstance(e.items[0], Param) else None
+        if v is None and len(e.items) > MANY_VALUES and all(isinstance(i, Lit | Param) for i in e.items):
+            v = [self.value(i) for i in e.items]
+        if not isinstance(v, list | tuple) or len(v) <= MANY_VALUES:
+            return None
+        x = self.typed(e.x)
+        of, kind = {"int": (int, pa.int64()), "text": (str, pa.string())}.get(x.kind, (None, None))
+        if x.nocase or set(map(type, v)) != {of}:
+            return None
+        if of is int and not -(2**63) <= min(v) <= max(v) < 2**63:
+            raise TypeMismatch("a value is beyond an int")
+        return x.col, list(v), kind
+
     def test(self, e: Any, bare: bool = False) -> Column:
         """A boolean that's never null; bare: where null counts as false anyway, Spark's own form may stand."""
         if isinstance(e, Binary) and e.op == "and":

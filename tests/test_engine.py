@@ -318,3 +318,20 @@ def test_lookup_equals_a_merge_by_hand(spark):
     assert got == want
     folded = {r.id: (r.k[0].n, r.k[0].s) for r in Reader(c).select(parse_one("get p select id lookup k on pid select count() as n, sum(n) as s")).df.collect()}
     assert folded == {p: (len(x), sum(n for *_, n in x) if x else None) for p, _ in parents for x in [[y for y in kids if y[1] == p]]}
+
+
+def test_long_lists_are_joined(spark):
+    """A list as long as the table was an expression of as many literals."""
+    c = Catalog(spark)
+    c.register("t", spark.createDataFrame([(k, k if k % 7 else None, f"s{k}") for k in range(40)], "id long, n int, s string").repartition(2))
+    long = [*range(0, 3000, 3), *range(0, 3000, 3), 5]
+    found = lambda q, *p: Reader(c, p).select(parse_one(q)).df
+    ids = lambda df: {r.id for r in df.collect()}
+    for q, test in (("n in $1", lambda k: bool(k % 7) and k in long), ("not n in $1", lambda k: not (k % 7 and k in long)), ("not not n in $1", lambda k: bool(k % 7) and k in long), ("n in $1 and id > 9", lambda k: k > 9 and bool(k % 7) and k in long), ("n in $1 or id = 2", lambda k: k == 2 or bool(k % 7) and k in long)):
+        assert ids(found(f"get t select id where {q}", long)) == {k for k in range(40) if test(k)}, q
+    plan = found("get t select id where n in $1", long)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "INSET" not in plan
+    assert ids(found("get t select id where s in $1", [f"s{k}" for k in long])) == {k for k in range(40) if k in long}
+    assert "LeftSemi" not in found("get t select id where n in $1", long[:20])._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(TypeMismatch):
+        found("get t select id where n in $1", [*long, 2**63])
