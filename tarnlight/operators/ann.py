@@ -6,6 +6,7 @@ distance). Every row whose eight-bit code leaves room for a score as good as the
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -13,11 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELLS = 16
 SAMPLE = 20_000
 #: Signs that one number holds.

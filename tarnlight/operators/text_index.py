@@ -12,15 +12,25 @@ in the answer, so that their postings count for rows that hold a stronger word a
 from __future__ import annotations
 
 import math
+import sys
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms_of
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MOST_SEGMENTS = 6
+#: Terms, repeated ones too, whose postings are one block of each at most, or those of one row.
+TOKENS = 4_000_000
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -68,20 +78,47 @@ class TextIndex:
         return df.groupBy("term").agg(F.sum("df").alias("df"), F.max("top_tf").alias("top_tf"), F.min("least_length").alias("least_length"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, t: terms) the postings of each term as one block for some TOKENS, and a block without a term for all of their rows."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch["t"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, ends = 0, np.cumsum(lengths)
+        while at < len(lengths):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + TOKENS, "right")))
+            yield _block(batch["id"].slice(at, to - at), batch["t"].slice(at, to - at), lengths[at:to])
+            at = to
+
+
+def _block(ids: pa.Array, lists: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
+    n = len(lengths)
+    tokens = lists.flatten().dictionary_encode()
+    place = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
+    place, tfs = np.unique(place, return_counts=True)  # by term, then row
+    row = np.concatenate([place % n, np.arange(n)])
+    starts = np.searchsorted(place // n, np.arange(len(tokens.dictionary)))
+    offsets = pa.array(np.append(starts, [len(place), len(row)]).astype(np.int32))
+    terms = pa.concat_arrays([tokens.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+    columns = [ids.take(pa.array(row)), pa.array(lengths[row].astype(np.int32)), pa.array(np.append(tfs, np.zeros(n)).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([terms, *(pa.ListArray.from_arrays(offsets, c) for c in columns)], ["term", "ids", "lengths", "tfs"])
+
+
 def _segment(rows: DataFrame, field_: str, folder: str, options: dict, gone: DataFrame | None = None) -> tuple[str, int, int]:
     path = f"{folder}/{uuid.uuid4().hex}"
     spark = rows.sparkSession
     column = with_beginnings(terms_of(F.col(field_), bool(options.get("chars"))), options)
-    rows.select("id", column.alias("t")).withColumn("length", F.size("t")).write.parquet(f"{path}/parsed")
+    kind = rows.schema["id"].dataType.simpleString()
+    counted = rows.select("id", column.alias("t")).mapInArrow(_blocks, f"term string, ids array<{kind}>, lengths array<int>, tfs array<int>")
+    counted.write.parquet(f"{path}/parsed")
     parsed = spark.read.parquet(f"{path}/parsed")
-    parsed.select("id", "length").write.parquet(f"{path}/rows")
-    # a frequent term's postings spread over ranges of (term, id)
-    postings = parsed.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    parsed.filter("term is null").select(F.explode(F.arrays_zip("ids", "lengths")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.lengths").alias("length")).write.parquet(f"{path}/rows")
+    # blocks are dealt and sorted, and taken apart after that; a frequent term's blocks spread over ranges of (term, first id)
+    blocks = parsed.filter("term is not null").withColumn("_first", F.col("ids")[0]).repartitionByRange("term", "_first").sortWithinPartitions("term", "_first")
+    each = blocks.select("term", F.explode(F.arrays_zip("ids", "lengths", "tfs")).alias("x"))
+    each.select("term", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length"), F.col("x.tfs").alias("tf")).write.parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("top_tf"), F.min("length").alias("least_length")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     (gone if gone is not None else rows.filter("false").select("id")).write.parquet(f"{path}/gone")
-    got = parsed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).head()
+    got = spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).head()
     _removed(spark, f"{path}/parsed")
     return path, got[0], got[1]
 

@@ -180,3 +180,34 @@ def test_turkish_folds_and_orders(spark):
     assert found("get cities select id where s = 'IRMAK' order id") and 5 == found("get cities select id order s")[-1]
     got = df.select(textfn.casefold(df.s, turkish=True).alias("f")).collect()
     assert [r.f for r in got] == ["izmir", "izmir", "ırmak", "ırmak", "zeytin"]
+
+
+def test_postings_travel_as_blocks(spark, tmp_path):
+    """Each posting was shuffled twice, as a row with its term."""
+    rng = random.Random(12)
+    texts = [None, "", *(" ".join(rng.choices(WORDS, k=20)) for _ in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(4).cache()
+    rows.count()
+    store = spark._jsc.sc().statusStore()
+    moved = lambda: sum(s.shuffleWriteRecords() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = moved()
+    index = text_index.build(rows, "body", str(tmp_path))
+    # a block of each term for each part, and as many rows of terms; some of each for ranges and counts
+    assert moved() - before < 20 * 4 * len(WORDS)
+    want = {(t, k): (x.split().count(t), len(x.split())) for k, x in enumerate(texts) if x for t in set(x.split())}
+    assert {(r.term, r.id): (r.tf, r.length) for r in index.live(spark, "postings").collect()} == want
+    assert {r.id: r.length for r in index.live(spark, "rows").collect()} == {k: len((x or "").split()) for k, x in enumerate(texts)}
+    assert (index.n, index.total) == (3002, 60_000)
+
+
+def test_blocks_are_cut_between_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "TOKENS", 5)
+    lists = [["a", "b", "a"], [], ["c"], None, ["a"] * 9, ["b", "c"], ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.string()))], ["id", "t"])
+    blocks = [b.to_pylist() for b in text_index._blocks(iter([batch]))]
+    assert len(blocks) == 3
+    got = {(r["term"], k): (n, m) for b in blocks for r in b for k, n, m in zip(r["ids"], r["tfs"], r["lengths"], strict=True)}
+    want = {(t, k): (x.count(t), len(x)) for k, x in enumerate(lists) for t in x or []} | {(None, k): (0, len(x or [])) for k, x in enumerate(lists)}
+    assert got == want
