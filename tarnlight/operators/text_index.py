@@ -108,13 +108,13 @@ def _segment(rows: DataFrame, field_: str, folder: str, options: dict, gone: Dat
     column = with_beginnings(terms_of(F.col(field_), bool(options.get("chars"))), options)
     kind = rows.schema["id"].dataType.simpleString()
     counted = rows.select("id", column.alias("t")).mapInArrow(_blocks, f"term string, ids array<{kind}>, lengths array<int>, tfs array<int>")
-    counted.write.parquet(f"{path}/parsed")
+    counted.write.option("compression", "zstd").parquet(f"{path}/parsed")
     parsed = spark.read.parquet(f"{path}/parsed")
     parsed.filter("term is null").select(F.explode(F.arrays_zip("ids", "lengths")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.lengths").alias("length")).write.parquet(f"{path}/rows")
     # blocks are dealt and sorted, and taken apart after that; a frequent term's blocks spread over ranges of (term, first id)
     blocks = parsed.filter("term is not null").withColumn("_first", F.col("ids")[0]).repartitionByRange("term", "_first").sortWithinPartitions("term", "_first")
     each = blocks.select("term", F.explode(F.arrays_zip("ids", "lengths", "tfs")).alias("x"))
-    each.select("term", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length"), F.col("x.tfs").alias("tf")).write.parquet(f"{path}/postings")
+    each.select("term", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length"), F.col("x.tfs").alias("tf")).write.option("compression", "zstd").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("top_tf"), F.min("length").alias("least_length")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     (gone if gone is not None else rows.filter("false").select("id")).write.parquet(f"{path}/gone")
